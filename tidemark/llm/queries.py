@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from tidemark.llm import chat_format, fingerprints, mixing, packing, token_output, url_filter
 from tidemark.llm.common import shared_dir
 from tidemark.llm.embedding_dedup import near_duplicates
+from tidemark.llm.html_extract import extract
 from tidemark.llm.ngram_join import NgramJaccard
+from tidemark.llm.quality_lm import QualityModel
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +30,10 @@ def op9_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.read_tokens(spark, path, ids_crc32=F.crc32("ids"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return QualityModel().classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -41,6 +47,10 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return NgramJaccard(n=3, num=90, den=100).components(table(spark, sf_dir, "documents"))
 
@@ -65,7 +75,7 @@ def op5_url(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pack": op1_pack, "op3_ngram_join": op3_ngram_join, "op4_chat": op4_chat, "op5_url": op5_url, "op7_embedding": op7_embedding, "op8_mix": op8_mix, "op9_tokens": op9_tokens, "op10_fingerprint": op10_fingerprint}
+    return {"op1_pack": op1_pack, "op2_html": op2_html, "op3_ngram_join": op3_ngram_join, "op4_chat": op4_chat, "op5_url": op5_url, "op6_quality": op6_quality, "op7_embedding": op7_embedding, "op8_mix": op8_mix, "op9_tokens": op9_tokens, "op10_fingerprint": op10_fingerprint}
 
 
 def oracle_sql() -> dict[str, str]:
