@@ -95,7 +95,7 @@ def search(queries: DataFrame, items: DataFrame, k: int = 20, block: int = 200_0
 
         def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             if not len(left) or not len(right):
-                return pd.DataFrame({"session": [], "type": [], "aid": [], "score": []}).astype({"session": "int64", "aid": "int64"})
+                return pd.DataFrame({"session": np.empty(0, np.int64), "type": np.empty(0, object), "aid": np.empty(0, np.int64), "score": np.empty(0)})
             return rows(left, right["aid"].to_numpy(np.int64), np.array(right["vec"].tolist(), np.float64))
 
         scored = q.groupBy("block", "part").cogroup(i.groupBy("block", "part")).applyInPandas(meet, schema)
