@@ -209,11 +209,17 @@ def blocks(top: Node, cut: frozenset[int] = frozenset()) -> list[tuple[Node, str
             inside_article = safe or item.tag in ("article", "main")
             if item is not top:
                 if item.never and not (item.tag not in NEVER and holds_article(item)) and not (article and item.tag == "header" and item.sign == "header"):
-                    held.append(" ")
+                    if item.tag in BLOCK:
+                        close()
+                    elif item.tag not in ("script", "style", "template", "noscript"):
+                        held.append(" ")
                     continue
                 protected = inside_article and (item.tag in CONTENT or item.tag in ("article", "main"))
                 if item.path in cut and not protected and not holds_article(item):
-                    held.append(" ")
+                    if item.tag in BLOCK:
+                        close()
+                    else:
+                        held.append(" ")
                     continue
                 inside_article = inside_article and item.tag in CONTENT or item.tag in ("article", "main")
             if item.tag == "br" or item.tag in VOID and item.tag not in BLOCK:

@@ -1,19 +1,21 @@
 """Exact n-gram Jaccard self-join with rare-first prefix filtering, and its connected components.
 
 Method. Every text is the set of its word shingles, as 64-bit hashes. All sets are ordered by one global order, rare
-shingles first: a fixed table of counters (2^20 by default) counts the shingles of all documents by hash, and the order
+shingles first: a table of counters, of bounded size, counts the shingles of all documents by hash, and the order
 is (log2 of the counter, hash). Two sets of similarity t share a shingle among the first ``n - ceil(t n) + 1`` of each,
 so sets are joined on these prefix shingles. Equal sets are one set from the start, by a 128-bit signature.
 
 The join wants no pair twice and no list of a hot shingle in one task:
 
+0. A set stays in the list of a prefix shingle only if some other set of the list passes with it the length filter, the
+   positional filter, and a bound from bit maps: sets of a and b shingles, whose parities in 256 bins differ in h bins,
+   share at most (a + b - h) / 2. Lists longer than a chunk stay whole.
 1. Every set goes to the list of the first prefix shingle that it shares with another set. Lists are cut into chunks by
    a hash, and inside a chunk sets are compared until all are linked or compared; pairs already linked through others
    are skipped. What comes out is a spanning forest, at most one link a set.
 2. Components are found. Lists whose sets all lie in one component need nothing more. Of the others, one set stands for
    each component, and step 1 is repeated among these, which links chunks of one cluster.
-3. The pairs still unlinked that share a prefix shingle and pass the length and positional filters become candidates,
-   each once, and are verified on their whole sets after the suffix filter.
+3. The pairs still unlinked that share a prefix shingle and pass the filters become candidates, each once, and are verified on their whole sets after the suffix filter.
 
 Nulls and odd rows: a null or wordless text has no shingles, size 0 and no links; a text of fewer words than a shingle
 has its whole sequence as one shingle; rows with a null id get a result row with a null component and link nothing;
@@ -26,6 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,8 +36,8 @@ from tidemark.llm.common import connected_components, materialize, mix64, releas
 from tidemark.session import ship
 
 _U = np.uint64
-#: Counters come in blocks of this many.
-_BLOCK = 4096
+#: Counters come in blocks of this many; steps within a block fit in 16 bits.
+_BLOCK = 1 << 15
 #: Texts that a kernel takes at once.
 _BATCH = 128
 
@@ -107,33 +110,64 @@ def local_links(keys: list[np.ndarray], groups: np.ndarray, num: int, den: int)
 class NgramJaccard:
     """The join for ``n`` words and similarity ``num / den``; see the module's text."""
 
-    def __init__(self, n: int = 3, num: int = 90, den: int = 100, counter_bits: int = 20, chunk: int = 512, rounds: int = 3):
-        self.n, self.num, self.den, self.bits, self.chunk, self.rounds = n, num, den, counter_bits, chunk, rounds
+    def __init__(self, n: int = 3, num: int = 90, den: int = 100, max_bits: int = 25, chunk: int = 512, rounds: int = 3, broadcast_ids: int = 200_000):
+        self.n, self.num, self.den, self.max_bits, self.chunk, self.rounds = n, num, den, max_bits, chunk, rounds
+        self.broadcast_ids = broadcast_ids  # 16 bytes each; more are joined by shuffling the texts
 
     # --- kernels
 
     def _count(self, texts: DataFrame) -> np.ndarray:
-        """log2 of the number of documents under each counter: 2^bits bytes, whatever the corpus."""
-        n, bits = self.n, self.bits
+        """log2 of the number of documents under each counter. There are about 64 counters a document, so that rare and
+        frequent shingles stay apart, but at most 2^max_bits: as many bytes on the driver, whatever the corpus."""
+        bits = min(self.max_bits, max(16, (texts.count() * 64 - 1).bit_length()))
+        n = self.n
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(1 << bits, np.int64)
+            parts, held, size = [], [], 0
+
+            def drain() -> None:
+                cell, count = np.unique((np.concatenate(held) & _U((1 << bits) - 1)).astype(np.int64), return_counts=True)
+                parts.append((cell, count))
+                if len(parts) > 8:
+                    cells, at = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
+                    parts[:] = [(cells, np.bincount(at, np.concatenate([n for _, n in parts])).astype(np.int64))]
+                held.clear()
+
             for batch in batches:
                 column = batch.column(0)
                 for at in range(0, len(column), _BATCH):
                     sets = shingle_sets(column.slice(at, _BATCH).to_pylist(), n)
-                    total += np.bincount((np.concatenate(sets) & _U((1 << bits) - 1)).astype(np.int64), minlength=1 << bits)
-            blocks = total.astype("<u4").reshape(-1, min(_BLOCK, 1 << bits))
-            held = np.flatnonzero(blocks.any(axis=1))
-            yield pa.RecordBatch.from_arrays([pa.array(held, pa.int64()), pa.array([blocks[k].tobytes() for k in held], pa.binary())], ["block", "counts"])
+                    held += sets
+                    size += sum(map(len, sets))
+                    if size > 1 << 21:
+                        drain()
+                        size = 0
+            if held:
+                drain()
+            if not parts:
+                return
+            cells, at = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
+            counts = np.bincount(at, np.concatenate([c for _, c in parts])).astype("<u4")
+            squeeze = zstandard.ZstdCompressor(level=1)
+            cuts = np.flatnonzero(np.diff(cells // _BLOCK, prepend=-1))
+            ends = np.append(cuts[1:], len(cells))
+            for lo in range(0, len(cuts), 64):
+                some = range(lo, min(lo + 64, len(cuts)))
+                blocks = [int(cells[cuts[k]] // _BLOCK) for k in some]
+                steps = [squeeze.compress(np.diff(cells[cuts[k] : ends[k]], prepend=blocks[k - lo] * _BLOCK).astype("<u2").tobytes()) for k in some]
+                many = [squeeze.compress(counts[cuts[k] : ends[k]].tobytes()) for k in some]
+                yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(steps, pa.binary()), pa.array(many, pa.binary())], ["block", "steps", "counts"])
 
         def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-            total = sum(np.frombuffer(x, "<u4").astype(np.int64) for x in pdf["counts"])
+            inflate = zstandard.ZstdDecompressor()
+            total = np.zeros(_BLOCK, np.int64)
+            for steps, counts in zip(pdf["steps"], pdf["counts"]):
+                total[np.cumsum(np.frombuffer(inflate.decompress(steps), "<u2").astype(np.int64))] += np.frombuffer(inflate.decompress(counts), "<u4")
             return pd.DataFrame({"block": [key[0]], "ranks": [np.floor(np.log2(np.maximum(total, 1))).astype(np.uint8).tobytes()]})
 
-        parts = texts.select("text").mapInArrow(run, "block bigint, counts binary").groupBy("block").applyInPandas(add, "block bigint, ranks binary").collect()
+        parts = texts.select("text").mapInArrow(run, "block bigint, steps binary, counts binary").groupBy("block").applyInPandas(add, "block bigint, ranks binary").collect()
         ranks = np.zeros(1 << bits, np.uint8)
-        width = min(_BLOCK, 1 << bits)
+        width = _BLOCK
         for block, data in parts:
             ranks[block * width : (block + 1) * width] = np.frombuffer(data, np.uint8)
         return ranks
@@ -143,13 +177,19 @@ class NgramJaccard:
         mask = _U(len(ranks) - 1)
         return [np.sort((ranks[(s & mask).astype(np.int64)].astype(_U) << _U(58)) | (s >> _U(6))) for s in shingle_sets(texts, self.n)]
 
+    @staticmethod
+    def _bits(keys: np.ndarray) -> bytes:
+        """Parities of the set's shingles in 256 bins."""
+        odd = np.bincount((keys & _U(0xFF)).astype(np.int64), minlength=256) & 1
+        return np.packbits(odd.astype(np.uint8)).tobytes()
+
     @staticmethod
     def _signature(keys: np.ndarray) -> tuple[int, int]:
         a, b = mix64(keys + _U(1)), mix64(keys ^ _U(0x5851F42D4C957F2D))
         return int(a.sum(dtype=_U).astype(np.int64)), int(b.sum(dtype=_U).astype(np.int64))
 
     def _describe(self, texts: DataFrame, ranks) -> DataFrame:
-        """``id, n, s1, s2, prefix`` of every row."""
+        """``id, n, s1, s2, prefix, bits`` of every row."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -160,9 +200,51 @@ class NgramJaccard:
                     heads = [k[: prefix_length(len(k), self.num, self.den)] if len(k) else k for k in sets]
                     offsets = np.concatenate(([0], np.cumsum([len(h) for h in heads]))).astype(np.int32)
                     flat = np.concatenate(heads).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(k) for k in sets], pa.int64()), pa.array([s for s, _ in sign], pa.int64()), pa.array([s for _, s in sign], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["id", "n", "s1", "s2", "prefix"])
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(k) for k in sets], pa.int64()), pa.array([s for s, _ in sign], pa.int64()), pa.array([s for _, s in sign], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array([self._bits(k) for k in sets], pa.binary())], ["id", "n", "s1", "s2", "prefix", "bits"])
+
+        return texts.mapInArrow(run, "id bigint, n bigint, s1 bigint, s2 bigint, prefix array<bigint>, bits binary")
 
-        return texts.mapInArrow(run, "id bigint, n bigint, s1 bigint, s2 bigint, prefix array<bigint>")
+    def _prune(self, lists: DataFrame) -> DataFrame:
+        """Step 0 on rows ``key, id, s1, n, pos, bits`` of lists of at most a chunk: rows with a partner that may do."""
+        num, den = self.num, self.den
+        names = ["key", "id", "s1", "n", "pos"]
+
+        def partners(t: pa.Table) -> np.ndarray:
+            key, n, pos = t["key"].to_numpy(), t["n"].to_numpy().astype(np.int64), t["pos"].to_numpy().astype(np.int64)
+            bits = np.frombuffer(b"".join(t["bits"].to_pylist()), np.uint64).reshape(-1, 4)
+            good = np.zeros(len(key), bool)
+            i = np.arange(len(key) - 1)
+            for step in range(1, self.chunk):
+                i = i[i + step < len(key)]
+                j = i + step
+                near = (key[i] == key[j]) & (n[j] * num <= n[i] * den)  # lists are sorted by size
+                i, j = i[near], j[near]
+                if not len(i):
+                    break
+                need = overlap_needed(n[i], n[j], num, den)
+                fit = np.minimum(n[i] - pos[i], n[j] - pos[j]) >= need
+                a, b, need = i[fit], j[fit], need[fit]
+                differ = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64)
+                fit = (n[a] + n[b] - differ) // 2 >= need
+                good[a[fit]] = good[b[fit]] = True
+            return good
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rest = None
+            for batch in batches:
+                t = pa.Table.from_batches([batch])
+                if rest is not None:
+                    t = pa.concat_tables([rest, t])
+                key = t["key"].to_numpy()
+                last = int(np.searchsorted(key, key[-1])) if len(key) else 0  # the last list may go on
+                done, rest = t.slice(0, last), t.slice(last)
+                if len(done):
+                    yield from done.filter(pa.array(partners(done))).select(names).combine_chunks().to_batches()
+            if rest is not None and len(rest):
+                yield from rest.filter(pa.array(partners(rest))).select(names).combine_chunks().to_batches()
+
+        dealt = lists.repartition("key").sortWithinPartitions("key", "n")
+        return dealt.select(*names, "bits").mapInArrow(run, "key bigint, id bigint, s1 bigint, n int, pos int")
 
     def _sets(self, texts: DataFrame, ranks) -> DataFrame:
         """``id, s1, keys`` of rows ``id, text, s1`` whose text has that signature."""
@@ -174,9 +256,9 @@ class NgramJaccard:
                     want = part.column(2).to_pylist()
                     sets = self._ordered(part.column(1).to_pylist(), ranks.value)
                     own = [i for i, k in enumerate(sets) if self._signature(k)[0] == want[i]]
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(own, pa.int64())), pa.array([want[i] for i in own], pa.int64()), pa.array([sets[i].tobytes() for i in own], pa.binary())], ["id", "s1", "keys"])
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(own, pa.int64())), pa.array([want[i] for i in own], pa.int64()), pa.array([sets[i].tobytes() for i in own], pa.binary()), *(pa.array([np.frombuffer(self._bits(sets[i]), "<i8")[w] for i in own], pa.int64()) for w in range(4))], ["id", "s1", "keys", "b0", "b1", "b2", "b3"])
 
-        return texts.mapInArrow(run, "id bigint, s1 bigint, keys binary")
+        return texts.mapInArrow(run, "id bigint, s1 bigint, keys binary, b0 bigint, b1 bigint, b2 bigint, b3 bigint")
 
     def _link_chunks(self, lists: DataFrame, sets: DataFrame) -> DataFrame:
         """Step 1 on rows ``key, id, s1, comp, pos``: links ``a, b`` inside the chunks of each set's first list."""
@@ -184,15 +266,22 @@ class NgramJaccard:
         first = lists.groupBy("id", "s1").agg(F.min(F.struct("pos", "key")).alias("m"), F.first("comp").alias("comp")).select("id", "s1", "comp", F.col("m.key").alias("key"))
         per = first.groupBy("key").agg(F.ceil(F.count("*") / self.chunk).alias("chunks"), F.count("*").alias("c")).where("c > 1")
         dealt = first.join(per.select("key", "chunks"), "key").withColumn("salt", F.pmod(F.xxhash64("id", "s1"), F.col("chunks")).cast("int"))
-        rows = dealt.join(sets, ["id", "s1"]).select("key", "salt", "id", "s1", "comp", "keys")
+        rows = dealt.join(sets.select("id", "s1", "keys"), ["id", "s1"]).select("key", "salt", "id", "s1", "comp", "keys")
+        # many small lists share a task's group, of about 2048 rows
+        buckets = max(1, lists.count() // 2048)
+        rows = rows.withColumn("bucket", F.pmod(F.xxhash64("key", "salt"), F.lit(buckets)))
 
         def link(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.drop_duplicates(["id", "s1"]).sort_values(["id", "s1"], ignore_index=True)
-            found = local_links([np.frombuffer(k, _U) for k in pdf["keys"]], pdf["comp"].to_numpy(), num, den)
-            ids = pdf["id"].to_numpy(np.int64)
-            return pd.DataFrame({"a": [ids[i] for i, _ in found], "b": [ids[j] for _, j in found]}, dtype=np.int64)
+            a, b = [], []
+            for _, part in pdf.groupby(["key", "salt"], sort=True):
+                part = part.drop_duplicates(["id", "s1"]).sort_values(["id", "s1"])
+                ids = part["id"].to_numpy(np.int64)
+                for i, j in local_links([np.frombuffer(k, _U) for k in part["keys"]], part["comp"].to_numpy(), num, den):
+                    a.append(ids[i])
+                    b.append(ids[j])
+            return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
-        return rows.groupBy("key", "salt").applyInPandas(link, "a bigint, b bigint")
+        return rows.groupBy("bucket").applyInPandas(link, "a bigint, b bigint")
 
     # --- the join
 
@@ -204,12 +293,18 @@ class NgramJaccard:
         texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
         ranks = spark.sparkContext.broadcast(self._count(texts))
         described, p1 = materialize(self._describe(texts, ranks), "shingles")
-        classes = described.where("n > 0 AND id IS NOT NULL").groupBy("s1", "s2", "n").agg(F.min("id").alias("rep"), F.first("prefix").alias("prefix"))
-        lists = classes.select(F.col("rep").alias("id"), "s1", "n", F.posexplode("prefix").alias("pos", "key"))
-        shared = lists.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-        lists, p2 = materialize(lists.join(shared.hint("shuffle_hash"), "key", "left_semi"), "lists")
-        wanted = lists.select("id", "s1").distinct()
-        sets, p3 = materialize(self._sets(texts.join(wanted, "id"), ranks), "sets")
+        classes = described.where("n > 0 AND id IS NOT NULL").groupBy("s1", "s2", "n").agg(F.min("id").alias("rep"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
+        classes, p0 = materialize(classes.select(F.col("rep").alias("id"), "s1", F.col("n").cast("int").alias("n"), "prefix", "bits"), "classes")
+        lists = classes.select("id", "s1", "n", F.posexplode("prefix").alias("pos", "key"))
+        shared = lists.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+        lists, p2 = materialize(lists.join(shared.hint("shuffle_hash"), "key").select("key", "id", "s1", "n", "pos", "c"), "lists")
+        short = lists.where(F.col("c") <= self.chunk).join(classes.select("id", "s1", "bits"), ["id", "s1"])
+        long = lists.where(F.col("c") > self.chunk).select("key", "id", "s1", "n", "pos")
+        lists, p4 = materialize(self._prune(short).unionByName(long), "lists")
+        release(spark, p0, p2)
+        wanted, p5 = materialize(lists.select("id", "s1").distinct(), "wanted")
+        few = wanted.count() <= self.broadcast_ids
+        sets, p3 = materialize(self._sets(texts.join(F.broadcast(wanted) if few else wanted, "id"), ranks), "sets")
 
         links, parts, now = None, [], lists.withColumn("comp", F.col("id"))
         members, path = None, None
@@ -226,7 +321,7 @@ class NgramJaccard:
             # one set stands for each component in a list
             now = open_lists.groupBy("key", "comp").agg(F.min_by(F.struct("id", "s1", "n", "pos"), F.struct("id", "s1")).alias("r")).select("key", "comp", "r.*")
         open_lists = self._open(lists, members)
-        pairs = self._candidates(open_lists)
+        pairs = self._candidates(open_lists, sets)
         verified, p = materialize(self._verify(pairs, sets), "links")
         parts.append(p)
         if not verified.isEmpty():
@@ -234,7 +329,6 @@ class NgramJaccard:
             if path:
                 release(spark, path)
             members, path = connected_components(links)
-        release(spark, p2, p3)
         same = described.groupBy("s1", "s2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("c")).where("c > 1 AND n > 0").drop("c")
         out = described.select("id", "n", "s1", "s2").join(same, ["s1", "s2", "n"], "left")
         out = out.withColumn("rep", F.when(F.col("id").isNull(), None).otherwise(F.coalesce("rep", "id")))
@@ -254,17 +348,22 @@ class NgramJaccard:
         split = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key")
         return placed.join(split.hint("shuffle_hash"), "key", "left_semi")
 
-    def _candidates(self, lists: DataFrame) -> DataFrame:
-        """Pairs of one list in different components that pass the length and the positional filter, each once."""
-        a = lists.select("key", *(F.col(c).alias(f"a_{c}") for c in ("id", "s1", "n", "pos", "comp")))
-        b = lists.select("key", *(F.col(c).alias(f"b_{c}") for c in ("id", "s1", "n", "pos", "comp")))
+    def _candidates(self, lists: DataFrame, sets: DataFrame) -> DataFrame:
+        """Pairs of one list in different components that pass the length, positional and bit map filters, each once."""
+        maps = ["b0", "b1", "b2", "b3"]
+        held = lists.join(sets.select("id", "s1", *maps).dropDuplicates(["id", "s1"]), ["id", "s1"])
+        columns = ["id", "s1", "n", "pos", "comp", *maps]
+        a = held.select("key", *(F.col(c).alias(f"a_{c}") for c in columns))
+        b = held.select("key", *(F.col(c).alias(f"b_{c}") for c in columns))
         need = F.floor((F.lit(self.num) * (F.col("a_n") + F.col("b_n")) + (self.den + self.num - 1)) / (self.den + self.num))
         room = F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos"))
+        differ = sum((F.bit_count(F.col(f"a_{m}").bitwiseXOR(F.col(f"b_{m}"))) for m in maps[1:]), F.bit_count(F.col("a_b0").bitwiseXOR(F.col("b_b0"))))
         fits = (
             (F.col("a_comp") != F.col("b_comp"))
             & ((F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.struct("a_id", "a_s1") < F.struct("b_id", "b_s1"))))
             & (F.col("a_n") * self.den >= F.col("b_n") * self.num)
             & (room >= need)
+            & (F.col("a_n") + F.col("b_n") - differ >= 2 * need)
         )
         return a.join(b, "key").where(fits).select("a_id", "a_s1", "b_id", "b_s1").distinct()
 
