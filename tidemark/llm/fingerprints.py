@@ -16,7 +16,7 @@ paragraphs and rows count as often as they occur; extra columns are ignored."""
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,13 +31,24 @@ _FIELDS = 0x0001000100010001
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)`` with ``value`` computed once, however often ``f`` names it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def _wrapping_sum(values: Column) -> Column:
     """Sum of longs modulo 2^64. Halves are summed apart, so that nothing overflows."""
     mask = F.lit(0xFFFFFFFF).cast("bigint")
-    low = F.aggregate(values, F.lit(0).cast("bigint"), lambda a, x: a + x.bitwiseAND(mask))
-    high = F.aggregate(values, F.lit(0).cast("bigint"), lambda a, x: (a + F.shiftrightunsigned(x, 32)).bitwiseAND(mask))
-    top = (high + F.shiftrightunsigned(low, 32)).bitwiseAND(mask)
-    return F.shiftleft(top, 32).bitwiseOR(low.bitwiseAND(mask))
+    zero = F.struct(F.lit(0).cast("bigint").alias("low"), F.lit(0).cast("bigint").alias("high"))
+
+    def add(s: Column, x: Column) -> Column:
+        return F.struct((s["low"] + x.bitwiseAND(mask)).alias("low"), (s["high"] + F.shiftrightunsigned(x, 32)).bitwiseAND(mask).alias("high"))
+
+    def join(s: Column) -> Column:
+        top = (s["high"] + F.shiftrightunsigned(s["low"], 32)).bitwiseAND(mask)
+        return F.shiftleft(top, 32).bitwiseOR(s["low"].bitwiseAND(mask))
+
+    return F.aggregate(values, zero, add, join)
 
 
 def _field_sum(values: Column) -> Column:
@@ -56,31 +67,43 @@ def paragraphs(text: Column) -> Column:
 
 def shingles(paragraph: Column) -> Column:
     """Hashes of a paragraph's word shingles."""
-    words = F.regexp_extract_all(paragraph, F.lit(WORD), F.lit(0))
-    return F.transform(
-        F.when(F.size(words) == 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(1), F.greatest(F.size(words) - (SHINGLE - 1), F.lit(1)))),
-        lambda i: F.xxhash64(F.slice(words, i, F.lit(SHINGLE))),
-    )
+
+    def hashes(words: Column) -> Column:
+        starts = F.when(F.size(words) == 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(1), F.greatest(F.size(words) - (SHINGLE - 1), F.lit(1))))
+        return F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, F.lit(SHINGLE))))
+
+    return let(F.regexp_extract_all(paragraph, F.lit(WORD), F.lit(0)), hashes)
+
+
+def _counters(h: Column) -> Column:
+    """For each of 64 bit positions, how many hashes have the bit: 16 numbers of four 16-bit fields."""
+    fields, places = F.lit(_FIELDS).cast("bigint"), F.sequence(F.lit(0), F.lit(15))
+
+    def shifted(g: Column, k: Column) -> Column:
+        return F.call_function("shiftrightunsigned", g, k).bitwiseAND(fields)
+
+    short = F.transform(places, lambda k: F.aggregate(h, F.lit(0).cast("bigint"), lambda s, g: s + shifted(g, k)))
+    long = F.transform(places, lambda k: let(F.transform(h, lambda g: shifted(g, k)), _field_sum))
+    return F.when(F.size(h) < 0x8000, short).otherwise(long)
+
+
+def _seeded(values: Column, seed: int) -> Column:
+    return F.transform(values, lambda x: F.xxhash64(x, F.lit(seed)))
 
 
 def vector(text: Column) -> Column:
     """The vector of a text as an array of longs: equality lanes, number of shingles, likeness lanes."""
-    lines = paragraphs(text)
-    equal = [_wrapping_sum(F.transform(lines, lambda p, k=k: F.xxhash64(p, F.lit(k)))) for k in range(EQUAL_LANES)]
-    grams = F.flatten(F.transform(lines, shingles))
-    lanes = []
-    for seed in range(SEEDS):
-        hashes = grams if seed == 0 else F.transform(grams, lambda g, seed=seed: F.xxhash64(g, F.lit(seed)))
-        lanes.append((seed, hashes))
-    fields = F.lit(_FIELDS).cast("bigint")
-
-    def counted(h: Column) -> Column:
-        places = F.sequence(F.lit(0), F.lit(15))
-        short = F.transform(places, lambda k: F.aggregate(h, F.lit(0).cast("bigint"), lambda s, g: s + F.call_function("shiftrightunsigned", g, k).bitwiseAND(fields)))
-        long = F.transform(places, lambda k: _field_sum(F.transform(h, lambda g: F.call_function("shiftrightunsigned", g, k).bitwiseAND(fields))))
-        return F.when(F.size(h) < 0x8000, short).otherwise(long)
-
-    return F.concat(F.array(*equal, F.size(grams).cast("bigint")), *(counted(h) for _, h in lanes))
+
+    def lanes(lines: Column) -> Column:
+        equal = [_wrapping_sum(_seeded(lines, k)) for k in range(EQUAL_LANES)]
+
+        def likeness_lanes(grams: Column) -> Column:
+            seeded = [let(_seeded(grams, k), _counters) for k in range(1, SEEDS)]
+            return F.concat(F.array(F.size(grams).cast("bigint")), _counters(grams), *seeded)
+
+        return F.concat(F.array(*equal), let(F.flatten(F.transform(lines, shingles)), likeness_lanes))
+
+    return let(paragraphs(text), lanes)
 
 
 def combine(a: Column, b: Column, sign: int = 1) -> Column:
