@@ -79,4 +79,25 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the operators that it can express; the others are tested against brute force."""
+    rules = " UNION ALL ".join(f"SELECT '{h}{p}' AS rule, '{h}' AS h, '{p}' AS p, '{v}' AS v" for v, h, p in URL_RULES)
+    return {
+        "op4_chat": """WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations UNION ALL
+            SELECT -1, n, r, '<|im_end|><|im_start|>assistant ok' FROM (SELECT 0 AS n, 'user' AS r UNION ALL SELECT 1, 'assistant') x),
+            w AS (SELECT *, coalesce(lag(role) OVER o <> role, true) AS first, coalesce(lead(role) OVER o <> role, true) AS last FROM t WINDOW o AS (PARTITION BY conv_id ORDER BY turn))
+            SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+            CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+            sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+            CAST(sum(length(text) + (length(text) - length(replace(text, '<|', ''))) // 2 + CASE WHEN first THEN 13 + length(role) ELSE 10 END + CASE WHEN last THEN 11 ELSE 0 END) AS BIGINT) AS formatted_chars
+            FROM w GROUP BY conv_id""",
+        "op5_url": f"""WITH r AS ({rules}), u AS (SELECT page_id, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
+            s AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+            m AS (SELECT s.page_id, r.rule, r.v, row_number() OVER (PARTITION BY s.page_id ORDER BY length(r.rule) DESC) AS n FROM s JOIN r ON (s.host = r.h OR ends_with(s.host, '.' || r.h)) AND starts_with(s.path, r.p))
+            SELECT s.page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM s LEFT JOIN m ON m.page_id = s.page_id AND n = 1""",
+        "op7_embedding": """WITH RECURSIVE e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+            l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id
+            WHERE list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) >= 0.98),
+            reach AS (SELECT vec_id AS n, vec_id AS r FROM e UNION SELECT l.b, reach.r FROM reach JOIN l ON l.a = reach.n),
+            c AS (SELECT n, min(r) AS c FROM reach GROUP BY n)
+            SELECT e.vec_id, (SELECT count(*) FROM l WHERE l.a = e.vec_id) AS n_links, c.c AS component_id, e.vec_id = c.c AS kept FROM e JOIN c ON c.n = e.vec_id""",
+    }
