@@ -29,7 +29,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import connected_components, materialize, mix64, release, shingle_sets
@@ -352,7 +352,10 @@ class NgramJaccard:
         """Pairs of one list in different components that pass the length, positional and bit map filters, each once."""
         maps = ["b0", "b1", "b2", "b3"]
         held = lists.join(sets.select("id", "s1", *maps).dropDuplicates(["id", "s1"]), ["id", "s1"])
-        columns = ["id", "s1", "n", "pos", "comp", *maps]
+        # a pair meets at the first list that both stand in, and at no other
+        earlier = Window.partitionBy("id", "s1").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+        held = held.withColumn("before", F.collect_list("key").over(earlier))
+        columns = ["id", "s1", "n", "pos", "comp", "before", *maps]
         a = held.select("key", *(F.col(c).alias(f"a_{c}") for c in columns))
         b = held.select("key", *(F.col(c).alias(f"b_{c}") for c in columns))
         need = F.floor((F.lit(self.num) * (F.col("a_n") + F.col("b_n")) + (self.den + self.num - 1)) / (self.den + self.num))
@@ -364,6 +367,7 @@ class NgramJaccard:
             & (F.col("a_n") * self.den >= F.col("b_n") * self.num)
             & (room >= need)
             & (F.col("a_n") + F.col("b_n") - differ >= 2 * need)
+            & ~F.arrays_overlap("a_before", "b_before")
         )
         return a.join(b, "key").where(fits).select("a_id", "a_s1", "b_id", "b_s1").distinct()
 
