@@ -276,3 +276,18 @@ def test_style_tree_cuts_templates(spark):
     assert all(got[i]["text"] == f"own text {i}\nmore {i * 7}" for i in range(12))
     assert got[50]["text"] == "" and got[51]["n_chars"] == 0 and "a\nb" in got[52]["text"]
     assert html_extract.extract(df.limit(0)).count() == 0
+
+
+def test_quality_sees_repeated_words(spark):
+    rng = random.Random(4)
+    vocabulary = ["the", "of", "stone", "river", "green", "house", "and", "walks", "water", "over", "hills", "deep"]
+    good = [" ".join(rng.choice(vocabulary) for _ in range(60)) + "." for _ in range(120)]
+    junk = ["the " * 50, "Stone. " * 30, "over the deep river " * 20, " ".join(f"{w} {w}" for w in good[0].split()), "and and " * 7]
+    fine = ["the the river", "green green", "stone"]
+    rows = [(i, t, "en" if i % 2 else "fr", "s") for i, t in enumerate(good + junk + fine)]
+    lab = spark.createDataFrame([(i, 1, 0) for i in range(120)], "doc_id long, quality int, toxic int")
+    out = quality_lm.QualityModel(order=3, shard_docs=40).classify(docs(spark, rows), lab).collect()
+    keep = {r["doc_id"]: r["keep"] for r in out}
+    assert [keep[i] for i in range(len(rows))] == [True] * 120 + [False] * 5 + [True] * 3
+    n, same = quality_lm.word_repeats(["a b a b a b", None, "", b"x X x", "a", "b a"])
+    assert n.tolist() == [6, 0, 0, 3, 1, 2] and same.tolist() == [4, 0, 0, 2, 0, 0]
