@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.items import fill_to_k, normalize_items, parse_items
 from tidemark.models import ranker, two_tower
 from tidemark.operators import candidates, covis, evaluate, features, fusion, popular, sampling, split, targets, vector_search
-from tidemark.plans import workflows
+from tidemark.plans import queries, workflows
 from tidemark.schema import require_columns
 from tidemark.streaming import upkeep
 
@@ -135,6 +135,29 @@ def test_features(spark):
     assert features.narrow(features.add_labels(pool, labels)).schema["label"].dataType.simpleString() == "tinyint"
 
 
+def test_neighbors_of_all_items(spark, monkeypatch, tmp_path):
+    rng = np.random.default_rng(5)
+    v = np.round(rng.normal(size=(60, 4)), 1)
+    v[10:16] = v[3]  # more copies than neighbours asked for
+    data = [(i, x.tolist()) for i, x in enumerate(v)]
+    unit = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+    want = []
+    for i in range(60):
+        best = sorted((-round(float(unit[i] @ unit[j]), 6), j) for j in range(60) if j != i)[:4]
+        want += [(i, j, r + 1, -s) for r, (s, j) in enumerate(best)]
+    items = spark.createDataFrame([*data, (99, None)], "aid long, vec array<double>")
+    for most in (10**6, 10):
+        monkeypatch.setattr(vector_search, "BROADCAST_NUMBERS", most)
+        got = rows(vector_search.neighbors(items, 4))
+        want.sort()
+        assert [r[:3] for r in got] == [r[:3] for r in want]
+        assert np.allclose([r[3] for r in got], [r[3] for r in want], atol=2e-6)
+    spark.createDataFrame(data, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([], "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    got = queries.queries()["item_neighbors"](spark, str(tmp_path))
+    assert {r["aid"] for r in got.collect()} == set(range(60)) and got.count() == 60 * 20
+
+
 def test_vector_search_paths_agree(spark, monkeypatch):
     rng = np.random.default_rng(0)
     items = spark.createDataFrame([(i, rng.normal(size=8).tolist()) for i in range(60)], "aid long, vec array<double>")

@@ -13,6 +13,8 @@ from tidemark.session import ship
 
 #: Item matrices up to this many numbers (8 bytes each) are broadcast; larger ones are searched block by block.
 BROADCAST_NUMBERS = 16_000_000
+#: Scores that are held at once (8 bytes each, twice).
+SCORES = 4_000_000
 
 
 def session_vectors(events: DataFrame, targets: DataFrame, items: DataFrame, types: DataFrame, max_seq_len: int = 0) -> DataFrame:
@@ -59,9 +61,9 @@ def search(queries: DataFrame, items: DataFrame, k: int = 20, block: int = 200_0
     blocks = 1 if count * width <= BROADCAST_NUMBERS else -(-count // block)
 
     def best(q: np.ndarray, aids: np.ndarray, m: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        scores = np.round(q @ m.T, digits)
         out = []
-        for row in scores:
+        step = max(1, SCORES // len(m))
+        for row in (row for at in range(0, len(q), step) for row in np.round(q[at : at + step] @ m.T, digits)):
             if len(row) > k:  # all that tie with the k-th
                 limit = np.partition(row, -k)[-k]
                 keep = np.flatnonzero(row >= limit)
@@ -102,6 +104,19 @@ def search(queries: DataFrame, items: DataFrame, k: int = 20, block: int = 200_0
     return _rank(scored, k, digits)
 
 
+def neighbors(items: DataFrame, k: int = 20, digits: int = 6) -> DataFrame:
+    """``aid, neighbor, rank, cosine``: every item's ``k`` nearest others by cosine, ties to the smaller id.
+
+    All items meet all items by :func:`search`. Ids are unique; items without a vector have no row and are nobody's
+    neighbour."""
+    known = items.where("aid IS NOT NULL AND vec IS NOT NULL")
+    q = known.select(F.col("aid").alias("session"), F.lit("item").alias("type"), V.l2_normalize(F.col("vec")).alias("vec"))
+    found = search(q, known, k + 1, digits=digits).where("aid <> session")  # an item may be pushed out by its own copies
+    w = Window.partitionBy("session").orderBy("rank")
+    ranked = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return ranked.select(F.col("session").alias("aid"), F.col("aid").alias("neighbor"), "rank", F.col("dssm_score").alias("cosine"))
+
+
 def item_list(details: DataFrame, targets: DataFrame) -> DataFrame:
     """``session, type, predictions`` of ranked items; empty lists for the other target rows."""
     x = details.groupBy("session", "type").agg(F.sort_array(F.collect_list(F.struct("rank", "aid"))).alias("x"))

@@ -163,6 +163,13 @@ def item_similarity(w: Workload) -> DataFrame:
     return a.join(F.broadcast(b)).select("a", "b", F.round(dot(F.col("x"), F.col("y")), 6).alias("cosine"))
 
 
+@query
+def item_neighbors(w: Workload) -> DataFrame:
+    """Every item's nearest others, over the whole table; ``item_similarity`` is a probe of a few pairs only."""
+    n = vector_search.neighbors(adapters.item_vectors(w.spark, w.sf_dir), K)
+    return n.select("aid", "neighbor", F.col("rank").cast("bigint").alias("rank"), "cosine")
+
+
 @query
 def fusion_rrf(w: Workload) -> DataFrame:
     return fusion.fuse(w.targets, w.sources(POOL_K), k=K).select("session", "type", "predictions", F.col("n_before").cast("bigint").alias("n_before"))
