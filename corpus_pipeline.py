@@ -1,7 +1,8 @@
 """The corpus pipeline: quality filter, near-duplicate removal, mixing to target weights, and packing.
 
 Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; all but the last return the columns of
-``documents``. Ids are matched null-safely; rows that share an id stand or fall together in the two filters."""
+``documents``. The two filters judge rows, by a hash of id, language, source and text: rows with a null or repeated id
+are each judged on their own, and only rows equal in all of these stand or fall together."""
 
 from __future__ import annotations
 
@@ -13,27 +14,44 @@ from tidemark.llm.common import materialize
 from tidemark.llm.ngram_join import NgramJaccard
 from tidemark.llm.quality_lm import QualityModel
 
-#: Ids of dropped documents up to this number (8 bytes each) are broadcast; more are joined by shuffling.
+#: Keys of dropped rows up to this number (8 bytes each) are broadcast; more are joined by shuffling.
 BROADCAST_IDS = 100_000
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a ``row_key``. Hashes pass over nulls, so it is hashed, too, which columns are null."""
+    columns = ["doc_id", "lang", "source", "text"]
+    return docs.withColumn("row_key", F.xxhash64(*columns, *(F.col(c).isNull() for c in columns)))
+
+
+def _few(table: DataFrame) -> DataFrame:
+    return F.broadcast(table) if table.count() <= BROADCAST_IDS else table
+
+
 def _without(docs: DataFrame, dropped: DataFrame, name: str) -> DataFrame:
-    """The rows of ``docs`` whose id isn't in ``dropped(gone)``."""
+    """The rows of ``docs`` whose key isn't in ``dropped(row_key)``."""
     dropped, _ = materialize(dropped.distinct(), name)
-    ids = F.broadcast(dropped) if dropped.count() <= BROADCAST_IDS else dropped
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["gone"]), "left_anti")
+    return _keyed(docs).join(_few(dropped), "row_key", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps."""
-    judged = QualityModel().classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _without(docs, judged.where("NOT keep").select(F.col("doc_id").alias("gone")), "rejected")
+    judged = QualityModel().classify(_keyed(docs), spark.read.parquet(f"{sf_dir}/labels.parquet"), "row_key")
+    return _without(docs, judged.where("NOT keep").select(F.col("row").alias("row_key")), "rejected")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of every group linked by five-word shingles of similarity 0.8."""
-    groups = NgramJaccard(n=5, num=80, den=100).components(docs)
-    return _without(docs, groups.where("component_id <> doc_id").select(F.col("doc_id").alias("gone")), "copies")
+    """One document, that of the smallest id, of every group linked by five-word shingles of similarity 0.8; a null id
+    is larger than others, and of equal ids the smaller key counts. Rows equal in their key are one."""
+    keyed = _keyed(docs)
+    found = NgramJaccard(n=5, num=80, den=100).components(keyed, "row_key").select(F.col("doc_id").alias("row_key"), "component_id")
+    found, _ = materialize(found, "groups")
+    groups, _ = materialize(found.where("component_id <> row_key").select("component_id").distinct(), "groups")
+    members = found.join(_few(groups), "component_id")
+    members, _ = materialize(members.join(keyed.select("row_key", "doc_id"), "row_key"), "members")
+    first = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("m"))
+    first, _ = materialize(first.select("component_id", F.col("m.row_key").alias("first")), "first")
+    return _without(docs, members.join(_few(first), "component_id").where("row_key <> first").select("row_key"), "copies")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -30,3 +30,21 @@ def test_pipeline(spark, tmp_path):
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r["doc_id"] for r in out} <= left and len(out)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "mix", "pack"]
+
+
+def test_filters_judge_rows(spark, tmp_path):
+    rng = random.Random(9)
+    vocabulary = ["the", "of", "stone", "river", "green", "house", "and", "walks"]
+    good = [" ".join(rng.choice(vocabulary) for _ in range(60)) for _ in range(60)]
+    junk = good[0].upper().replace(" ", "!! ")
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(good[:50])]
+    rows += [(None, good[50], "en", "s", 0), (None, junk, "en", "s", 0), (None, good[1], "en", "s", 0), (None, "", "en", None, 0)]
+    rows += [(70, good[51], "en", "s", 0), (70, junk + " X!!", "en", "s", 0), (70, good[2], "en", "s", 0), (71, good[52], "en", "s", 0), (71, good[52], "en", "t", 0)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(i, 1, 0) for i in range(50)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = corpus_pipeline.quality(spark, d, str(tmp_path))
+    left = sorted((str(r["doc_id"]), r["text"]) for r in kept.collect())
+    assert kept.columns == d.columns and left == sorted((str(r[0]), r[1]) for r in rows if r[1] and "!!" not in r[1])
+    one = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, kept, str(tmp_path)).collect()]
+    assert sorted(t for _, t in one) == sorted(good[:53])
+    assert {(1, good[1]), (2, good[2]), (None, good[50]), (70, good[51])} <= set(one)
