@@ -291,3 +291,9 @@ def test_quality_sees_repeated_words(spark):
     assert [keep[i] for i in range(len(rows))] == [True] * 120 + [False] * 5 + [True] * 3
     n, same = quality_lm.word_repeats(["a b a b a b", None, "", b"x X x", "a", "b a"])
     assert n.tolist() == [6, 0, 0, 3, 1, 2] and same.tolist() == [4, 0, 0, 2, 0, 0]
+
+
+def test_components_fail_unless_found(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    with pytest.raises(RuntimeError, match="2 rounds"):
+        common.connected_components(edges, max_rounds=2)

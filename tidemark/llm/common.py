@@ -42,7 +42,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> tuple[DataFr
 
     Every round is a few aggregations and joins on the node, written to the shared folder; no links or labels go to
     the driver, only a count and a checksum for the stopping test. Returns ``(node, component)`` with the smallest
-    reachable node as component, and the path of its table. Null ends and self links are ignored."""
+    reachable node as component, and the path of its table; fails if ``max_rounds`` don't do. Null ends and self links are ignored."""
     spark = edges.sparkSession
     now = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
@@ -68,6 +68,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> tuple[DataFr
         if tuple(mark) == seen:
             break
         seen = tuple(mark)
+    else:
+        release(spark, path)
+        raise RuntimeError(f"components not found in {max_rounds} rounds")
     roots = now.select(F.col("b").alias("node")).distinct()
     out = now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
         roots.select("node", F.col("node").alias("component"))
