@@ -131,3 +131,11 @@ def test_main_text(page, text):
 def test_long_page():
     page = "<article>" + "<div>" * 3000 + "<p>x</p>" * 2000
     assert html_extract.main_text(page).count("x") == 2000
+
+
+def test_packing_tries_resting_bins_again():
+    rng = np.random.default_rng(12)
+    sizes = rng.integers(204, 512, 60)
+    bins = packing.improve(packing.best_fit_decreasing(sizes, 1024), sizes, 1024)
+    assert sorted(i for b in bins for i in b) == list(range(60)) and max(sizes[b].sum() for b in bins) <= 1024
+    assert len(bins) == 22 == -(-sizes.sum() // 1024)

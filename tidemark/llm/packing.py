@@ -81,10 +81,11 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def improve(bins: list[list[int]], lengths: np.ndarray, capacity: int, steps: int = 20_000) -> list[list[int]]:
+def improve(bins: list[list[int]], lengths: np.ndarray, capacity: int, steps: int | None = None) -> list[list[int]]:
     """Local search among the underfull bins. The least filled bin gives: a piece moves to a bin with room; or one of
-    its pieces, or two together, change places with a smaller piece of a fuller bin, the exchange that fills it best.
-    Each step raises the squared fill. An emptied bin goes; a bin with no step left rests. ``steps`` bounds the search."""
+    its pieces, or any two together, change places with a smaller piece of a fuller bin, the exchange that fills it
+    best. Each step raises the squared fill. An emptied bin goes; a bin with no step left rests until all others do, and
+    is tried again if one has changed since. ``steps`` bounds the search: 8 for each piece, and 20,000 at least."""
     fills = [int(lengths[b].sum()) for b in bins]
     least = -(-sum(fills) // capacity)
     done = [b for b, f in zip(bins, fills) if f == capacity]
@@ -96,10 +97,15 @@ def improve(bins: list[list[int]], lengths: np.ndarray, capacity: int, steps: in
     size = lengths[item].astype(np.int64) if len(item) else np.empty(0, np.int64)
     home = np.repeat(np.arange(len(work)), [len(b) for b in work])
     count = len(bins)
+    steps = max(20_000, 8 * len(item)) if steps is None else steps
+    changed = False
     while steps > 0 and count > least:
         open_bins = np.flatnonzero(live & ~resting & (fill < capacity))
         if not len(open_bins):
-            break
+            if not changed:
+                break
+            resting[:] = changed = False
+            continue
         v = int(open_bins[np.argmin(fill[open_bins])])
         while steps > 0:
             steps -= 1
@@ -122,23 +128,34 @@ def improve(bins: list[list[int]], lengths: np.ndarray, capacity: int, steps: in
                 home[x] = j
                 fill[j] += size[x]
                 fill[v] -= size[x]
+                changed = True
                 continue
-            gives = [((x,), int(size[x])) for x in big]
-            gives += [((x, y), int(size[x] + size[y])) for k, x in enumerate(big[:16]) for y in big[k + 1 : 16]]
-            best = (0, None, None)
+            # the least piece that may come back for each total given: of bins with at least so much room with it
             space = free[home]
-            for xs, total in gives:
-                gain = total - size
-                gain[(gain > space) | (space <= 0)] = 0
-                k = int(np.argmax(gain))
-                if gain[k] > best[0]:
-                    best = (int(gain[k]), xs, k)
-            if best[1] is None:
+            there = np.flatnonzero(space > 0)
+            back = np.full(2 * capacity + 1, capacity + 1, np.int64)
+            np.minimum.at(back, size[there] + space[there], size[there])
+            back = np.minimum.accumulate(back[::-1])[::-1]
+            kinds, one, many = np.unique(size[mine], return_index=True, return_counts=True)
+            i, j = np.triu_indices(len(kinds))
+            pair = (i != j) | (many[i] > 1)
+            i, j = i[pair], j[pair]
+            total = np.concatenate((kinds, kinds[i] + kinds[j]))
+            gains = total - back[total]
+            at = int(np.argmax(gains)) if len(there) else 0
+            if not len(there) or gains[at] <= 0:
                 resting[v] = True
                 break
-            gain, xs, k = best
+            k = there[np.flatnonzero((size[there] == back[total[at]]) & (size[there] + space[there] >= total[at]))[0]]
+            if at < len(kinds):
+                xs = mine[one[at]]
+            else:
+                x, y = i[at - len(kinds)], j[at - len(kinds)]
+                xs = [mine[one[x]], mine[one[y]] if x != y else mine[size[mine] == kinds[x]][1]]
+            gain = int(gains[at])
+            changed = True
             j = home[k]
-            home[list(xs)] = j
+            home[xs] = j
             home[k] = v
             fill[j] += gain
             fill[v] -= gain
