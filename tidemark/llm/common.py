@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a local one where it is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Where it is unset, a session of one machine (tests)
+    takes a temporary folder; a cluster must set it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + os.path.join(tempfile.gettempdir(), "tidemark-checkpoints")
     return found.rstrip("/")
 
@@ -37,6 +45,25 @@ def release(spark: SparkSession, *paths: str) -> None:
         target.getFileSystem(conf).delete(target, True)
 
 
+def slices(batch: pa.RecordBatch, column: int, rows: int = 128, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of at most ``rows`` rows, whose texts in ``column`` have at most ``size`` bytes, or of one row."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = before = 0
+    while at < batch.num_rows:
+        end = max(at + 1, min(at + rows, int(np.searchsorted(ends, before + size, side="right"))))
+        yield batch.slice(at, end - at)
+        before, at = int(ends[end - 1]), end
+
+
+def settle() -> None:
+    """Give freed memory back to the system: workers live on, and theirs counts against their executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> tuple[DataFrame, str]:
     """Component of every node of ``edges(a, b)`` by alternating large-star and small-star rounds.
 
@@ -129,7 +156,7 @@ def _window_words(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return mix64((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(_U)), starts
 
 
-def word_hashes(texts: list, window: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list, window: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words ``[^\\x20\\x09-\\x0D]+`` of all texts, A-Z lower-cased, one after the other, and
     the offset of every text's first word (one more entry than texts). A null text has no words. Memory is bounded by
     ``window`` bytes times a small factor, or the longest word where it is longer."""

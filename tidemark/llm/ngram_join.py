@@ -1,25 +1,33 @@
 """Exact n-gram Jaccard self-join with rare-first prefix filtering, and its connected components.
 
 Method. Every text is the set of its word shingles, as 64-bit hashes. All sets are ordered by one global order, rare
-shingles first: a table of counters, of bounded size, counts the shingles of all documents by hash, and the order
-is (log2 of the counter, hash). Two sets of similarity t share a shingle among the first ``n - ceil(t n) + 1`` of each,
-so sets are joined on these prefix shingles. Equal sets are one set from the start, by a 128-bit signature.
+shingles first: a table of counters, of bounded size, counts the shingles of all documents by hash, and the order is
+(rank of the counter, hash). Ranks tell counters apart by their height above the mean load, so that shingles more
+frequent than the table's own noise stand last at any size. Two sets of similarity t share a shingle among the first
+``n - ceil(t n) + 1`` of each, so sets are joined on these prefix shingles. Equal sets are one set from the start, by a
+128-bit signature.
 
-The join wants no pair twice and no list of a hot shingle in one task:
+The join verifies no pair twice and wants no list of a hot shingle in one task:
 
 0. A set stays in the list of a prefix shingle only if some other set of the list passes with it the length filter, the
    positional filter, and a bound from bit maps: sets of a and b shingles, whose parities in 256 bins differ in h bins,
    share at most (a + b - h) / 2. Lists longer than a chunk stay whole.
 1. Every set goes to the list of the first prefix shingle that it shares with another set. Lists are cut into chunks by
-   a hash, and inside a chunk sets are compared until all are linked or compared; pairs already linked through others
-   are skipped. What comes out is a spanning forest, at most one link a set.
+   a hash, bounded by sets and by shingles. Inside a chunk, pairs that pass the length, positional and bit map filters
+   and aren't linked through others yet are verified. What comes out is a spanning forest, at most one link a set.
 2. Components are found. Lists whose sets all lie in one component need nothing more. Of the others, one set stands for
-   each component, and step 1 is repeated among these, which links chunks of one cluster.
-3. The pairs still unlinked that share a prefix shingle and pass the filters become candidates, each once, and are verified on their whole sets after the suffix filter.
+   each component, and step 1 is repeated among these, which links chunks of one cluster. Sets remember the chunks
+   they have been in, and pairs that met before aren't taken again.
+3. The pairs still unlinked that share a prefix shingle, never met in a chunk, and pass the filters become candidates,
+   each once, and are verified on their whole sets after the suffix filter.
+
+Memory: kernels take texts in slices of about 1 MB, counters are one array of fixed size in each task, and groups are
+bounded by shingles. A very long text is one slice, and its set one row, of 8 bytes a shingle.
 
 Nulls and odd rows: a null or wordless text has no shingles, size 0 and no links; a text of fewer words than a shingle
 has its whole sequence as one shingle; rows with a null id get a result row with a null component and link nothing;
-rows that share an id are one document with several texts, and get one row for each; an empty table gives an empty result; extra columns are ignored."""
+rows that share an id are one document with several texts: they are in one component, and get one row for each; an empty
+table gives an empty result; extra columns are ignored."""
 
 from __future__ import annotations
 
@@ -32,14 +40,17 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import connected_components, materialize, mix64, release, shingle_sets
+from tidemark.llm.common import connected_components, materialize, mix64, release, settle, shingle_sets, slices
 from tidemark.session import ship
 
 _U = np.uint64
-#: Counters come in blocks of this many; steps within a block fit in 16 bits.
+#: Counters come in blocks of this many.
 _BLOCK = 1 << 15
-#: Texts that a kernel takes at once.
-_BATCH = 128
+#: Shingles of the sets that one chunk, and one task's group of chunks, hold in the mean at most.
+_CHUNK_SHINGLES, _GROUP_SHINGLES = 1 << 18, 1 << 19
+#: A candidate is dropped where one of this many lists before has both sets; later lists are left to ``distinct``.
+_BEFORE = 64
+_MAPS = ["b0", "b1", "b2", "b3"]
 
 
 def prefix_length(n: np.ndarray | int, num: int, den: int):
@@ -74,33 +85,42 @@ def similar(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     return suffix_bound(a, b) >= need and len(np.intersect1d(a, b, assume_unique=True)) >= need
 
 
-def local_links(keys: list[np.ndarray], groups: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+def local_links(keys: list[np.ndarray], groups: np.ndarray, num: int, den: int, pos: np.ndarray | None = None, bits: np.ndarray | None = None, met: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links that join all similar sets of a chunk, as a spanning forest; ``groups`` are components known before.
 
-    Every set in turn is compared with all later ones of another group within its length window, in one vectorised
-    count over the concatenated sets."""
+    Every set in turn is compared with the later ones of another group that pass the length filter and, where given,
+    the positional filter for places ``pos`` in the chunk's list, the bound from the bit maps ``bits`` (four words a set),
+    and that share no value of a column of ``met``; these in one vectorised count over their sets."""
     sizes = np.array([len(k) for k in keys], np.int64)
     order = np.argsort(sizes, kind="stable")
     keys, sizes = [keys[i] for i in order], sizes[order]
     group = np.unique(groups[order], return_inverse=True)[1].reshape(-1).astype(np.int64)
-    flat = np.concatenate(keys) if keys else np.empty(0, _U)
-    begin = np.concatenate(([0], np.cumsum(sizes)))
+    left = sizes - pos[order] if pos is not None else sizes
+    bits, met = (None if x is None else x[order] for x in (bits, met))
     links = []
     for i in range(len(keys) - 1):
         end = int(np.searchsorted(sizes, sizes[i] * den // num, side="right"))
         if end <= i + 1 or not sizes[i]:
             continue
-        others = np.flatnonzero(group[i + 1 : end] != group[i]) + i + 1
+        others = np.arange(i + 1, end)
+        others = others[group[i + 1 : end] != group[i]]
+        need = overlap_needed(sizes[i], sizes[others], num, den)
+        fit = np.minimum(left[i], left[others]) >= need
+        others, need = others[fit], need[fit]
+        if met is not None and len(others):
+            fit = ~(met[others] == met[i]).any(axis=1)
+            others, need = others[fit], need[fit]
+        if bits is not None and len(others):
+            differ = np.bitwise_count(bits[others] ^ bits[i]).sum(axis=1, dtype=np.int64)
+            fit = (sizes[i] + sizes[others] - differ) // 2 >= need
+            others, need = others[fit], need[fit]
         if not len(others):
             continue
-        if len(others) * 4 >= end - i - 1:
-            part = flat[begin[i + 1] : begin[end]]
-            at = np.searchsorted(keys[i], part)
-            at[at == sizes[i]] = 0
-            common = np.add.reduceat((keys[i][at] == part).astype(np.int64), begin[i + 1 : end] - begin[i + 1])[others - i - 1]
-        else:
-            common = np.array([len(np.intersect1d(keys[i], keys[j], assume_unique=True)) for j in others])
-        for j in others[common >= overlap_needed(sizes[i], sizes[others], num, den)]:
+        part = np.concatenate([keys[j] for j in others])
+        at = np.searchsorted(keys[i], part)
+        at[at == sizes[i]] = 0
+        common = np.add.reduceat((keys[i][at] == part).astype(np.int64), np.cumsum(sizes[others]) - sizes[others])
+        for j in others[common >= need]:
             if group[j] != group[i]:
                 links.append((int(order[i]), int(order[j])))
                 group[group == group[j]] = group[i]
@@ -110,66 +130,80 @@ def local_links(keys: list[np.ndarray], groups: np.ndarray, num: int, den: int)
 class NgramJaccard:
     """The join for ``n`` words and similarity ``num / den``; see the module's text."""
 
-    def __init__(self, n: int = 3, num: int = 90, den: int = 100, max_bits: int = 25, chunk: int = 512, rounds: int = 3, broadcast_ids: int = 200_000):
+    def __init__(self, n: int = 3, num: int = 90, den: int = 100, max_bits: int = 24, chunk: int = 512, rounds: int = 3, broadcast_ids: int = 200_000):
         self.n, self.num, self.den, self.max_bits, self.chunk, self.rounds = n, num, den, max_bits, chunk, rounds
         self.broadcast_ids = broadcast_ids  # 16 bytes each; more are joined by shuffling the texts
 
     # --- kernels
 
     def _count(self, texts: DataFrame) -> np.ndarray:
-        """log2 of the number of documents under each counter. There are about 64 counters a document, so that rare and
-        frequent shingles stay apart, but at most 2^max_bits: as many bytes on the driver, whatever the corpus."""
-        bits = min(self.max_bits, max(16, (texts.count() * 64 - 1).bit_length()))
-        n = self.n
+        """The rank, 0 to 63, of each counter, by the number of documents under it. There are about 32 counters a
+        document, but at most 2^max_bits: 4 bytes each in a task, and as many bytes on the driver, whatever the corpus.
+
+        Up to the mean load ranks are linear, as a counter bounds its shingles' frequencies; above it they grow with
+        the logarithm of the height in standard deviations of the load, so that frequent shingles stand out from it."""
+        bits = min(self.max_bits, max(16, (texts.count() * 32 - 1).bit_length()))
+        n, blocks = self.n, (1 << bits) // _BLOCK
+
+        def given(counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+            squeeze = zstandard.ZstdCompressor(level=1)
+            for k in range(blocks):
+                own = counts[k * _BLOCK : (k + 1) * _BLOCK]
+                if own.any():
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([squeeze.compress(own.astype("<u4").tobytes())], pa.binary())], ["block", "counts"])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            parts, held, size = [], [], 0
+            counts, held, size = np.zeros(1 << bits, np.uint32), [], 0
 
             def drain() -> None:
-                cell, count = np.unique((np.concatenate(held) & _U((1 << bits) - 1)).astype(np.int64), return_counts=True)
-                parts.append((cell, count))
-                if len(parts) > 8:
-                    cells, at = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
-                    parts[:] = [(cells, np.bincount(at, np.concatenate([n for _, n in parts])).astype(np.int64))]
+                cell, many = np.unique(np.concatenate(held) & _U((1 << bits) - 1), return_counts=True)
+                counts[cell.astype(np.int64)] += many.astype(np.uint32)
                 held.clear()
 
             for batch in batches:
-                column = batch.column(0)
-                for at in range(0, len(column), _BATCH):
-                    sets = shingle_sets(column.slice(at, _BATCH).to_pylist(), n)
+                for part in slices(batch, 0):
+                    sets = shingle_sets(part.column(0).to_pylist(), n)
                     held += sets
                     size += sum(map(len, sets))
-                    if size > 1 << 21:
+                    if size > 1 << 17:
                         drain()
                         size = 0
             if held:
                 drain()
-            if not parts:
-                return
-            cells, at = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
-            counts = np.bincount(at, np.concatenate([c for _, c in parts])).astype("<u4")
-            squeeze = zstandard.ZstdCompressor(level=1)
-            cuts = np.flatnonzero(np.diff(cells // _BLOCK, prepend=-1))
-            ends = np.append(cuts[1:], len(cells))
-            for lo in range(0, len(cuts), 64):
-                some = range(lo, min(lo + 64, len(cuts)))
-                blocks = [int(cells[cuts[k]] // _BLOCK) for k in some]
-                steps = [squeeze.compress(np.diff(cells[cuts[k] : ends[k]], prepend=blocks[k - lo] * _BLOCK).astype("<u2").tobytes()) for k in some]
-                many = [squeeze.compress(counts[cuts[k] : ends[k]].tobytes()) for k in some]
-                yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(steps, pa.binary()), pa.array(many, pa.binary())], ["block", "steps", "counts"])
-
-        def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-            inflate = zstandard.ZstdDecompressor()
-            total = np.zeros(_BLOCK, np.int64)
-            for steps, counts in zip(pdf["steps"], pdf["counts"]):
-                total[np.cumsum(np.frombuffer(inflate.decompress(steps), "<u2").astype(np.int64))] += np.frombuffer(inflate.decompress(counts), "<u4")
-            return pd.DataFrame({"block": [key[0]], "ranks": [np.floor(np.log2(np.maximum(total, 1))).astype(np.uint8).tobytes()]})
-
-        parts = texts.select("text").mapInArrow(run, "block bigint, steps binary, counts binary").groupBy("block").applyInPandas(add, "block bigint, ranks binary").collect()
+            yield from given(counts)
+            del counts
+            settle()
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            # a task's blocks only: sums of 4 bytes a counter
+            inflate, sums = zstandard.ZstdDecompressor(), {}
+            for batch in batches:
+                for k, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    own = sums.setdefault(k, np.zeros(_BLOCK, np.uint32))
+                    more = np.frombuffer(inflate.decompress(data.as_py()), "<u4")
+                    np.minimum(own, ~more, out=own)  # saturates
+                    own += more
+            for k, own in sums.items():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([own.astype("<u4").tobytes()], pa.binary()), pa.array([int(own.sum(dtype=np.int64))], pa.int64())], ["block", "counts", "total"])
+
+        shape = "block int, counts binary"
+        sums = texts.select("text").mapInArrow(run, shape).repartition("block").mapInArrow(add, f"{shape}, total bigint")
+        sums, path = materialize(sums, "counts")
+        base = (sums.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]) // (1 << bits)
+
+        def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out = []
+                for data in batch.column(1):
+                    c = np.frombuffer(data.as_py(), "<u4").astype(np.int64)
+                    above = 16 + 3 * np.log2(1 + np.maximum(c - base, 0) / max(1.0, base**0.5))
+                    out.append(np.where(c <= base, 16 * c // (base + 1), np.minimum(above, 63)).astype(np.uint8).tobytes())
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["block", "ranks"])
+
         ranks = np.zeros(1 << bits, np.uint8)
-        width = _BLOCK
-        for block, data in parts:
-            ranks[block * width : (block + 1) * width] = np.frombuffer(data, np.uint8)
+        for block, data in sums.select("block", "counts").mapInArrow(rank, "block int, ranks binary").collect():
+            ranks[block * _BLOCK : (block + 1) * _BLOCK] = np.frombuffer(data, np.uint8)
+        release(texts.sparkSession, path)
         return ranks
 
     def _ordered(self, texts: list, ranks: np.ndarray) -> list[np.ndarray]:
@@ -193,14 +227,14 @@ class NgramJaccard:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for at in range(0, batch.num_rows, _BATCH):
-                    part = batch.slice(at, _BATCH)
+                for part in slices(batch, 1):
                     sets = self._ordered(part.column(1).to_pylist(), ranks.value)
                     sign = [self._signature(k) for k in sets]
                     heads = [k[: prefix_length(len(k), self.num, self.den)] if len(k) else k for k in sets]
                     offsets = np.concatenate(([0], np.cumsum([len(h) for h in heads]))).astype(np.int32)
                     flat = np.concatenate(heads).view(np.int64)
                     yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(k) for k in sets], pa.int64()), pa.array([s for s, _ in sign], pa.int64()), pa.array([s for _, s in sign], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array([self._bits(k) for k in sets], pa.binary())], ["id", "n", "s1", "s2", "prefix", "bits"])
+            settle()
 
         return texts.mapInArrow(run, "id bigint, n bigint, s1 bigint, s2 bigint, prefix array<bigint>, bits binary")
 
@@ -247,28 +281,33 @@ class NgramJaccard:
         return dealt.select(*names, "bits").mapInArrow(run, "key bigint, id bigint, s1 bigint, n int, pos int")
 
     def _sets(self, texts: DataFrame, ranks) -> DataFrame:
-        """``id, s1, keys`` of rows ``id, text, s1`` whose text has that signature."""
+        """``id, s1, keys, b0, b1, b2, b3`` of every text: its sorted shingles and their bit map."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for at in range(0, batch.num_rows, _BATCH):
-                    part = batch.slice(at, _BATCH)
-                    want = part.column(2).to_pylist()
+                for part in slices(batch, 1):
                     sets = self._ordered(part.column(1).to_pylist(), ranks.value)
-                    own = [i for i, k in enumerate(sets) if self._signature(k)[0] == want[i]]
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(own, pa.int64())), pa.array([want[i] for i in own], pa.int64()), pa.array([sets[i].tobytes() for i in own], pa.binary()), *(pa.array([np.frombuffer(self._bits(sets[i]), "<i8")[w] for i in own], pa.int64()) for w in range(4))], ["id", "s1", "keys", "b0", "b1", "b2", "b3"])
+                    maps = np.frombuffer(b"".join(self._bits(k) for k in sets), "<i8").reshape(-1, 4)
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array([self._signature(k)[0] for k in sets], pa.int64()), pa.array([k.tobytes() for k in sets], pa.binary()), *(pa.array(maps[:, w].copy()) for w in range(4))], ["id", "s1", "keys", *_MAPS])
+            settle()
 
         return texts.mapInArrow(run, "id bigint, s1 bigint, keys binary, b0 bigint, b1 bigint, b2 bigint, b3 bigint")
 
-    def _link_chunks(self, lists: DataFrame, sets: DataFrame) -> DataFrame:
-        """Step 1 on rows ``key, id, s1, comp, pos``: links ``a, b`` inside the chunks of each set's first list."""
+    def _homes(self, lists: DataFrame) -> DataFrame:
+        """``id, s1, comp, pos, key, salt``: the chunk of each set's first list, of rows ``key, id, s1, n, comp, pos``."""
+        first = lists.groupBy("id", "s1").agg(F.min(F.struct("pos", "key", "n")).alias("m"), F.first("comp").alias("comp")).select("id", "s1", "comp", "m.*")
+        chunks = F.greatest(F.ceil(F.count("*") / self.chunk), F.ceil(F.sum("n") / _CHUNK_SHINGLES))
+        per = first.groupBy("key").agg(chunks.alias("chunks"), F.count("*").alias("c")).where("c > 1")
+        dealt = first.join(per.select("key", "chunks"), "key")
+        return dealt.select("id", "s1", "comp", "pos", "n", "key", F.pmod(F.xxhash64("id", "s1"), F.col("chunks")).cast("int").alias("salt"))
+
+    def _link_chunks(self, homes: DataFrame, sets: DataFrame, met: list[str]) -> DataFrame:
+        """Step 1 on chunks of ``id, s1, comp, pos, key, salt`` and columns ``met``, earlier chunks: links ``a, b``."""
         num, den = self.num, self.den
-        first = lists.groupBy("id", "s1").agg(F.min(F.struct("pos", "key")).alias("m"), F.first("comp").alias("comp")).select("id", "s1", "comp", F.col("m.key").alias("key"))
-        per = first.groupBy("key").agg(F.ceil(F.count("*") / self.chunk).alias("chunks"), F.count("*").alias("c")).where("c > 1")
-        dealt = first.join(per.select("key", "chunks"), "key").withColumn("salt", F.pmod(F.xxhash64("id", "s1"), F.col("chunks")).cast("int"))
-        rows = dealt.join(sets.select("id", "s1", "keys"), ["id", "s1"]).select("key", "salt", "id", "s1", "comp", "keys")
-        # many small lists share a task's group, of about 2048 rows
-        buckets = max(1, lists.count() // 2048)
+        count, shingles = homes.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+        rows = homes.drop("n").join(sets, ["id", "s1"])
+        # many small lists share a task's group
+        buckets = max(1, count // 2048, shingles // _GROUP_SHINGLES)
         rows = rows.withColumn("bucket", F.pmod(F.xxhash64("key", "salt"), F.lit(buckets)))
 
         def link(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -276,9 +315,12 @@ class NgramJaccard:
             for _, part in pdf.groupby(["key", "salt"], sort=True):
                 part = part.drop_duplicates(["id", "s1"]).sort_values(["id", "s1"])
                 ids = part["id"].to_numpy(np.int64)
-                for i, j in local_links([np.frombuffer(k, _U) for k in part["keys"]], part["comp"].to_numpy(), num, den):
-                    a.append(ids[i])
-                    b.append(ids[j])
+                found = local_links(
+                    [np.frombuffer(k, _U) for k in part["keys"]], part["comp"].to_numpy(), num, den, part["pos"].to_numpy(np.int64),
+                    part[_MAPS].to_numpy(np.int64).view(_U), part[met].to_numpy(np.int64) if met else None,
+                )
+                a += [ids[i] for i, _ in found]
+                b += [ids[j] for _, j in found]
             return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
         return rows.groupBy("bucket").applyInPandas(link, "a bigint, b bigint")
@@ -289,12 +331,13 @@ class NgramJaccard:
         """``doc_id, n_shingles, component_id`` of every row: the smallest id that links reach."""
         spark = docs.sparkSession
         ship(spark)
-        num, den = self.num, self.den
         texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
         ranks = spark.sparkContext.broadcast(self._count(texts))
         described, p1 = materialize(self._describe(texts, ranks), "shingles")
-        classes = described.where("n > 0 AND id IS NOT NULL").groupBy("s1", "s2", "n").agg(F.min("id").alias("rep"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
-        classes, p0 = materialize(classes.select(F.col("rep").alias("id"), "s1", F.col("n").cast("int").alias("n"), "prefix", "bits"), "classes")
+        real = described.where("n > 0 AND id IS NOT NULL")
+        classes = real.groupBy("s1", "s2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
+        classes, p0 = materialize(classes.select(F.col("rep").alias("id"), "s1", "s2", F.col("n").cast("int").alias("n"), "copies", "prefix", "bits"), "classes")
+        named, _ = materialize(classes.select(F.col("id").alias("rep"), "s1", "s2", "n", "copies"), "named")
         lists = classes.select("id", "s1", "n", F.posexplode("prefix").alias("pos", "key"))
         shared = lists.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
         lists, p2 = materialize(lists.join(shared.hint("shuffle_hash"), "key").select("key", "id", "s1", "n", "pos", "c"), "lists")
@@ -302,26 +345,48 @@ class NgramJaccard:
         long = lists.where(F.col("c") > self.chunk).select("key", "id", "s1", "n", "pos")
         lists, p4 = materialize(self._prune(short).unionByName(long), "lists")
         release(spark, p0, p2)
+        # rows of one id are one document: links from it to the class of each of its texts
+        several = real.groupBy("id").agg(F.count("*").alias("rows"), F.min(F.struct("s1", "s2", "n")).alias("x"), F.max(F.struct("s1", "s2", "n")).alias("y")).where("rows > 1")
+        several, p6 = materialize(several.select("id", (F.col("x") < F.col("y")).alias("unlike")), "several")
+        repeated, links, parts = not several.isEmpty(), None, []
+        if repeated:
+            texts_of = real.select("id", "s1", "s2", "n").distinct().join(several.where("unlike").select("id"), "id", "left_semi")
+            links, p = materialize(texts_of.join(named, ["s1", "s2", "n"]).select(F.col("id").alias("a"), F.col("rep").alias("b")), "links")
+            parts.append(p)
         wanted, p5 = materialize(lists.select("id", "s1").distinct(), "wanted")
         few = wanted.count() <= self.broadcast_ids
-        sets, p3 = materialize(self._sets(texts.join(F.broadcast(wanted) if few else wanted, "id"), ranks), "sets")
-
-        links, parts, now = None, [], lists.withColumn("comp", F.col("id"))
-        members, path = None, None
+        ids = wanted.select("id").distinct()
+        sets = self._sets(texts.join(F.broadcast(ids) if few else ids, "id", "left_semi"), ranks)
+        if repeated:
+            sets = sets.join(wanted, ["id", "s1"], "left_semi").dropDuplicates(["id", "s1"])
+        sets, p3 = materialize(sets, "sets")
+        ranks.destroy()
+
+        members = path = None
+        if links is not None:
+            members, path = connected_components(links)
+        met: list[str] = []
+        now = self._open(lists, members)
+        placed = []
         for _ in range(self.rounds):
-            fresh, p = materialize(self._link_chunks(now, sets), "links")
+            homes = self._homes(now)
+            for k, (name, earlier) in enumerate(zip(met, placed)):
+                homes = homes.join(earlier, ["id", "s1"], "left").withColumn(name, F.coalesce(name, F.xxhash64("id", "s1", F.lit(k))))
+            homes, p = materialize(homes, "homes")
+            parts.append(p)
+            fresh, p = materialize(self._link_chunks(homes, sets, met), "links")
             parts.append(p)
+            met.append(f"met{len(met)}")
+            placed.append(homes.select("id", "s1", F.xxhash64("key", "salt").alias(met[-1])))
             if fresh.isEmpty():
                 break
             links = fresh if links is None else links.unionByName(fresh)
             if path:
                 release(spark, path)
             members, path = connected_components(links)
-            open_lists = self._open(lists, members)
             # one set stands for each component in a list
-            now = open_lists.groupBy("key", "comp").agg(F.min_by(F.struct("id", "s1", "n", "pos"), F.struct("id", "s1")).alias("r")).select("key", "comp", "r.*")
-        open_lists = self._open(lists, members)
-        pairs = self._candidates(open_lists, sets)
+            now = self._open(lists, members).groupBy("key", "comp").agg(F.min_by(F.struct("id", "s1", "n", "pos"), F.struct("id", "s1")).alias("r")).select("key", "comp", "r.*")
+        pairs = self._candidates(self._open(lists, members), sets, dict(zip(met, placed)))
         verified, p = materialize(self._verify(pairs, sets), "links")
         parts.append(p)
         if not verified.isEmpty():
@@ -329,14 +394,16 @@ class NgramJaccard:
             if path:
                 release(spark, path)
             members, path = connected_components(links)
-        same = described.groupBy("s1", "s2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("c")).where("c > 1 AND n > 0").drop("c")
-        out = described.select("id", "n", "s1", "s2").join(same, ["s1", "s2", "n"], "left")
-        out = out.withColumn("rep", F.when(F.col("id").isNull(), None).otherwise(F.coalesce("rep", "id")))
+        release(spark, p3, p4, p5, p6, *parts)
+        # rows that are alone in their class and unlinked need no join
         if members is not None:
-            out = out.join(members.withColumnRenamed("node", "rep"), "rep", "left")
+            named = named.join(members.withColumnRenamed("node", "rep"), "rep", "left")
         else:
-            out = out.withColumn("component", F.lit(None).cast("bigint"))
-        return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
+            named = named.withColumn("component", F.lit(None).cast("bigint"))
+        named = named.where("copies > 1 OR component IS NOT NULL").select("s1", "s2", "n", F.coalesce("component", "rep").alias("component"))
+        out = real.select("id", "n", "s1", "s2").join(named, ["s1", "s2", "n"], "left").select("id", "n", F.coalesce("component", "id").alias("component"))
+        out = out.unionByName(described.where("n = 0 OR id IS NULL").select("id", "n", F.col("id").alias("component")))
+        return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
     @staticmethod
     def _open(lists: DataFrame, members: DataFrame | None) -> DataFrame:
@@ -348,19 +415,21 @@ class NgramJaccard:
         split = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key")
         return placed.join(split.hint("shuffle_hash"), "key", "left_semi")
 
-    def _candidates(self, lists: DataFrame, sets: DataFrame) -> DataFrame:
-        """Pairs of one list in different components that pass the length, positional and bit map filters, each once."""
-        maps = ["b0", "b1", "b2", "b3"]
-        held = lists.join(sets.select("id", "s1", *maps).dropDuplicates(["id", "s1"]), ["id", "s1"])
-        # a pair meets at the first list that both stand in, and at no other
-        earlier = Window.partitionBy("id", "s1").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    def _candidates(self, lists: DataFrame, sets: DataFrame, met: dict[str, DataFrame]) -> DataFrame:
+        """Pairs of one list in different components that pass the length, positional and bit map filters and that no
+        chunk of ``met`` held, each once."""
+        held = lists.join(sets.drop("keys"), ["id", "s1"])
+        for name, earlier in met.items():
+            held = held.join(earlier, ["id", "s1"], "left")
+        # a pair meets at the first list that both stand in; far lists are left to distinct, so that rows stay small
+        earlier = Window.partitionBy("id", "s1").orderBy("pos").rowsBetween(-_BEFORE, -1)
         held = held.withColumn("before", F.collect_list("key").over(earlier))
-        columns = ["id", "s1", "n", "pos", "comp", "before", *maps]
+        columns = ["id", "s1", "n", "pos", "comp", "before", *_MAPS, *met]
         a = held.select("key", *(F.col(c).alias(f"a_{c}") for c in columns))
         b = held.select("key", *(F.col(c).alias(f"b_{c}") for c in columns))
         need = F.floor((F.lit(self.num) * (F.col("a_n") + F.col("b_n")) + (self.den + self.num - 1)) / (self.den + self.num))
         room = F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos"))
-        differ = sum((F.bit_count(F.col(f"a_{m}").bitwiseXOR(F.col(f"b_{m}"))) for m in maps[1:]), F.bit_count(F.col("a_b0").bitwiseXOR(F.col("b_b0"))))
+        differ = sum((F.bit_count(F.col(f"a_{m}").bitwiseXOR(F.col(f"b_{m}"))) for m in _MAPS[1:]), F.bit_count(F.col("a_b0").bitwiseXOR(F.col("b_b0"))))
         fits = (
             (F.col("a_comp") != F.col("b_comp"))
             & ((F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.struct("a_id", "a_s1") < F.struct("b_id", "b_s1"))))
@@ -369,6 +438,8 @@ class NgramJaccard:
             & (F.col("a_n") + F.col("b_n") - differ >= 2 * need)
             & ~F.arrays_overlap("a_before", "b_before")
         )
+        for name in met:
+            fits = fits & F.coalesce(F.col(f"a_{name}") != F.col(f"b_{name}"), F.lit(True))
         return a.join(b, "key").where(fits).select("a_id", "a_s1", "b_id", "b_s1").distinct()
 
     def _verify(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -380,8 +451,7 @@ class NgramJaccard:
                 good = [i for i in range(batch.num_rows) if similar(np.frombuffer(a[i].as_py(), _U), np.frombuffer(b[i].as_py(), _U), num, den)]
                 yield batch.select([0, 1]).take(pa.array(good, pa.int64()))
 
-        one = sets.dropDuplicates(["id", "s1"])
-        x = one.select(F.col("id").alias("a"), F.col("s1").alias("a_s1"), F.col("keys").alias("x"))
-        y = one.select(F.col("id").alias("b"), F.col("s1").alias("b_s1"), F.col("keys").alias("y"))
+        x = sets.select(F.col("id").alias("a"), F.col("s1").alias("a_s1"), F.col("keys").alias("x"))
+        y = sets.select(F.col("id").alias("b"), F.col("s1").alias("b_s1"), F.col("keys").alias("y"))
         rows = pairs.withColumnsRenamed({"a_id": "a", "b_id": "b"}).join(x, ["a", "a_s1"]).join(y, ["b", "b_s1"]).select("a", "b", "x", "y")
         return rows.mapInArrow(check, "a bigint, b bigint")
