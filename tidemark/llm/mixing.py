@@ -6,9 +6,14 @@ within its source is the block it takes. Slots of one source are spread as evenl
 prefix of the schedule has close to the target shares, and the numbers of slots meet the targets within a few blocks;
 a short tail of slots makes up what is missing, and a source's last block is cut at its target.
 
+Places in a stream are sums over buckets of a hash first, then within each. Equal rows are one row with a number of
+copies until the result, in portions of ``COPIES``, so that neither a large source nor a group of copies meets in one
+task. The table of sources has one row for each; its weights follow their order, in one task.
+
 Nulls and odd rows: a null text has no tokens; a null source is a source, ordered last; null and repeated ids are rows
-like others, each taken at most ``passes`` times its size; sources without tokens have target 0; an empty table gives
-an empty result; extra columns are ignored unless asked for."""
+like others, each taken at most ``passes`` times its size; rows are told apart by 128-bit hashes that see nulls; equal rows
+share what their places take; very long texts span as many blocks as they need; sources without tokens have target 0;
+an empty table gives an empty result; extra columns are ignored unless asked for."""
 
 from __future__ import annotations
 
@@ -22,6 +27,15 @@ GOLDEN = 0.6180339887498949
 WORD = r"[^\x20\x09-\x0D]+"
 #: Cells of [0, 1) by which points find their source.
 CELLS = 4096
+#: Copies of a row that lie side by side at most.
+COPIES = 1024
+KEY = ["key_a", "key_b"]
+
+
+def row_keys(columns: list[Column]) -> list[Column]:
+    """A 128-bit hash of a row as two numbers. Hashes pass over nulls, so which columns are null is hashed, too."""
+    flags = [c.isNull() for c in columns]
+    return [F.xxhash64(*columns, *flags).alias("key_a"), F.xxhash64(F.lit(1), *flags, *columns).alias("key_b")]
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, passes: int = 2) -> DataFrame:
@@ -76,40 +90,51 @@ def schedule(targets: DataFrame, block: int) -> DataFrame:
     return main.unionByName(tail)
 
 
-def mix(rows: DataFrame, size: Column | None = None, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, passes: int = 2, block: int = 1024, seed: int = 17, bucket_rows: int = 50_000) -> tuple[DataFrame, DataFrame]:
+def mix(rows: DataFrame, size: Column | None = None, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, passes: int = 2, block: int = 1024, seed: int = 17, bucket_rows: int = 8192, keys: list[Column] | None = None) -> tuple[DataFrame, DataFrame]:
     """The mix of ``rows`` (``doc_id, source, text``): its spans and its sizes.
 
-    ``spans``: ``slot, doc_id, source, row_key, pass, first, n`` - slot takes ``n`` tokens of the document from its
-    token ``first`` on. ``sizes``: ``doc_id, source, row_key, size, source_size, target``. Rows are told apart by
-    ``row_key``, a hash of id, source and text; rows alike in all three share one and lie side by side."""
+    ``spans``: ``slot, doc_id, source, key_a, key_b, at, pass, first, n`` - slot takes ``n`` tokens of the document from
+    its token ``first`` on. ``sizes``: ``doc_id, source, key_a, key_b, at, size, source_size, target``. Rows are told
+    apart by ``keys``, else :func:`row_keys` of id, source and text, and rows of one key by their place ``at`` in their
+    source's stream."""
     size = F.regexp_count("text", F.lit(WORD)).cast("bigint") if size is None else size
-    d = rows.select("doc_id", "source", F.coalesce(size, F.lit(0)).cast("bigint").alias("size"), F.xxhash64("doc_id", "source", "text").alias("row_key"))
+    keys = row_keys([F.col(c) for c in ("doc_id", "source", "text")]) if keys is None else keys
+    d = rows.select("doc_id", "source", F.coalesce(size, F.lit(0)).cast("bigint").alias("size"), *keys)
+    d = d.groupBy(*d.columns).agg(F.count("*").alias("copies"))
+    d = d.withColumn("portion", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("copies") - 1) / COPIES))))
+    d = d.withColumn("copies", F.least(F.lit(COPIES).cast("bigint"), F.col("copies") - F.col("portion") * COPIES))
     d, _ = materialize(d, "mix")  # read three times; only ids, sizes and hashes
-    d = d.withColumn("place", F.xxhash64("row_key", F.lit(seed)))
+    d = d.withColumn("place", F.xxhash64(*KEY, "portion", F.lit(seed)))
     buckets = max(1, -(-d.count() // bucket_rows))
     d = d.withColumn("bucket", F.pmod(F.shiftright("place", 20), F.lit(buckets)))
-    per = d.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
+    all_size = F.col("size") * F.col("copies")
+    per = d.groupBy("source", "bucket").agg(F.sum(all_size).alias("n"))
     totals = per.groupBy("source").agg(F.sum("n").alias("source_size"))
     targets = source_targets(totals, weights, share, passes)
     per = per.select("source", "bucket", (F.sum("n").over(Window.partitionBy("source").orderBy("bucket")) - F.col("n")).alias("before"))
     info = per.join(targets.withColumnRenamed("source", "s1"), F.col("source").eqNullSafe(F.col("s1"))).drop("s1")
     info = info.select(F.col("source").alias("s1"), F.col("bucket").alias("b1"), "before", "source_size", "target")
     d = d.join(info, F.col("source").eqNullSafe(F.col("s1")) & (F.col("bucket") == F.col("b1"))).drop("s1", "b1")
-    inside = Window.partitionBy("source", "bucket").orderBy("place", "row_key", "size").rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("at", F.col("before") + F.sum("size").over(inside) - F.col("size"))
-    sizes = d.select("doc_id", "source", "row_key", "size", "source_size", "target", "at")
+    inside = Window.partitionBy("source", "bucket").orderBy("place", *KEY, "portion", "size").rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumn("at", F.col("before") + F.sum(all_size).over(inside) - all_size)
+    d = d.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1))).withColumn("at", F.col("at") + F.col("copy") * F.col("size"))
+    sizes = d.select("doc_id", "source", *KEY, "at", "size", "source_size", "target")
     runs = d.where("size > 0 AND target > 0").withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(passes - 1))))
     runs = runs.withColumn("begin", F.col("at") + F.col("pass") * F.col("source_size")).withColumn("end", F.least(F.col("begin") + F.col("size"), F.round("target").cast("bigint")))
     runs = runs.where("begin < end").withColumn("rank", F.explode(F.sequence(F.floor(F.col("begin") / block), F.floor((F.col("end") - 1) / block))))
     slots = schedule(targets, block).select("slot", F.col("source").alias("s1"), F.col("rank").alias("r1"))
     low, high = F.greatest(F.col("begin"), F.col("rank") * block), F.least(F.col("end"), (F.col("rank") + 1) * block)
     spans = runs.join(slots, F.col("source").eqNullSafe(F.col("s1")) & (F.col("rank") == F.col("r1")))
-    spans = spans.select("slot", "doc_id", "source", "row_key", "at", "pass", (low - F.col("begin")).alias("first"), (high - low).alias("n"))
+    spans = spans.select("slot", "doc_id", "source", *KEY, "at", "pass", (low - F.col("begin")).alias("first"), (high - low).alias("n"))
     return spans, sizes
 
 
 def taken(spans: DataFrame, sizes: DataFrame) -> DataFrame:
-    """``doc_id, source, row_key, size, source_size, target, taken`` of every row; ``taken`` counts repeats."""
-    got = spans.groupBy(F.col("row_key").alias("k"), F.col("at").alias("a")).agg(F.sum("n").alias("n"))
-    out = sizes.join(got, (F.col("row_key") == F.col("k")) & (F.col("at") == F.col("a")), "left")
-    return out.select("doc_id", "source", "row_key", "size", "source_size", "target", F.coalesce("n", F.lit(0)).alias("taken"))
+    """``doc_id, source, key_a, key_b, size, source_size, target, taken, first_slot, slots`` of every row; ``taken`` counts
+    repeats, and the slots are the schedule's part that takes from the row."""
+    got = spans.groupBy(*(F.col(c).alias(f"g_{c}") for c in ("source", *KEY, "at"))).agg(F.sum("n").alias("n"), F.min("slot").alias("first_slot"), F.count("*").alias("slots"))
+    same = F.col("source").eqNullSafe(F.col("g_source")) & (F.col("at") == F.col("g_at"))
+    for c in KEY:
+        same = same & (F.col(c) == F.col(f"g_{c}"))
+    out = sizes.join(got, same & (F.col("size") > 0), "left")
+    return out.select("doc_id", "source", *KEY, "size", "source_size", "target", F.coalesce("n", F.lit(0)).alias("taken"), "first_slot", F.coalesce("slots", F.lit(0)).alias("slots"))

@@ -40,7 +40,7 @@ def op7_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans, sizes = mixing.mix(table(spark, sf_dir, "documents"))
-    return mixing.taken(spans, sizes).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.taken(spans, sizes).select("doc_id", "size", "source_size", "target", "taken", "first_slot", "slots")
 
 
 def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
