@@ -1,13 +1,15 @@
 """Best-fit packing of token sequences, improved by swap-based local search.
 
-Documents become pieces of at most ``capacity`` tokens. Full pieces are sequences of their own. The others are dealt by a
-hash of their document into groups of bounded size, and every group is packed by itself: best-fit decreasing first, then
-a local search that exchanges one piece for one, two for one, or moves a piece, from the least filled bin to a fuller
-one. Every step raises the sum of squared fills, until bins run empty and disappear. Groups never grow with the data,
-so memory is bounded and more data are more tasks.
+Documents become pieces of at most ``capacity`` tokens, of which one at most isn't full. Full pieces are sequences of
+their own. The others are dealt in turn, whatever their ids, into groups of about ``group_pieces``, and every group is
+packed by itself: best-fit decreasing first, then a local search that exchanges one piece for one, two for one, or moves
+a piece, from the least filled bin to a fuller one. Every step raises the sum of squared fills, until bins run empty and
+disappear; the search ends when no bin has a step left, or after 8 steps a piece, and 20,000 at least. Groups never grow
+with the data, so memory is bounded and more data are more tasks; full pieces have groups of their own, by their number.
 
 Nulls and odd rows: a null or empty text has the end id alone; a null id is an id like others; repeated rows are packed
-as often as they occur; an empty table gives an empty result; extra columns of the pieces are carried through, extra
+as often as they occur; a very long document is tokenised at once, and its pieces are dealt like others; documents of equal
+length are packed in the order of their ids, texts and places; an empty table gives an empty result; extra columns of the pieces are carried through, extra
 columns of the documents are ignored."""
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import settle, slices
 from tidemark.session import ship
 
 #: Pieces that one task packs together.
@@ -38,8 +41,7 @@ def tokenize_pieces(docs: DataFrame, capacity: int = 1024, end_id: int | None =
         tail = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
         names = ["doc_id", "piece", "start", "length", "ids"]
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in slices(batch, 1, 256):
                 keys, rows = part.column(0), []
                 for i, ids in enumerate(enc.encode(part.column(1).to_pylist())):
                     ids += tail
@@ -49,6 +51,7 @@ def tokenize_pieces(docs: DataFrame, capacity: int = 1024, end_id: int | None =
                     rows += [(i, k, a, b - a, ids[4 * a : 4 * b]) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]
                 cols = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays([keys.take(pa.array(cols[0], pa.int64())), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.binary())], names)
+        settle()
 
     ship(docs.sparkSession)
     plain = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -164,15 +167,17 @@ def improve(bins: list[list[int]], lengths: np.ndarray, capacity: int, steps: in
     return done
 
 
-def pack_pieces(pieces: DataFrame, capacity: int = 1024, group_pieces: int = GROUP_PIECES, n_docs: int | None = None) -> DataFrame:
+def pack_pieces(pieces: DataFrame, capacity: int = 1024, group_pieces: int = GROUP_PIECES, n_docs: int | None = None, n_full: int | None = None) -> DataFrame:
     """``pieces`` (``doc_id, piece, length`` and any more columns, carried through) with ``sequence_id`` and
-    ``offset``. ``n_docs`` sets the number of groups; it is counted where absent."""
+    ``offset``. ``n_docs``, of the pieces that may be part full, and ``n_full``, of full ones at most, set the numbers of
+    groups; they are counted where absent."""
     ship(pieces.sparkSession)
-    if n_docs is None:
-        n_docs = pieces.where(F.col("piece") == 0).count()
-    groups = max(1, round(n_docs / group_pieces))
-    full = F.col("length") >= capacity
-    key = F.pmod(F.xxhash64(F.when(full, F.xxhash64("doc_id", "piece")).otherwise(F.xxhash64("doc_id"))), F.lit(groups)).cast("int")
+    if n_docs is None or n_full is None:
+        n_docs, n_full = pieces.agg(F.count_if(F.col("length") < capacity), F.count_if(F.col("length") >= capacity)).first()
+    groups, full_groups = max(1, round(n_docs / group_pieces)), max(1, -(-n_full // group_pieces))
+    # dealt by places, so that neither a repeated id nor copies of a text are a hot key
+    deal = F.xxhash64(F.spark_partition_id(), F.monotonically_increasing_id())
+    key = F.when(F.col("length") >= capacity, groups + F.pmod(deal, F.lit(full_groups))).otherwise(F.pmod(deal, F.lit(groups))).cast("int")
     held = pieces.columns
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -198,4 +203,14 @@ def pack_documents(docs: DataFrame, capacity: int = 1024, end_id: int | None = 2
     rows are shuffled. :func:`tokenize_pieces` gives the ids of each span."""
     pieces = tokenize_pieces(docs, capacity, end_id, tokenizer)
     spans = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
-    return pack_pieces(spans, capacity, group_pieces, docs.count())
+    # a token has a byte at least, so this bounds the full pieces
+    n_docs, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    return pack_pieces(spans, capacity, group_pieces, n_docs, size // capacity)
+
+
+def pack_report(packed: DataFrame, capacity: int = 1024) -> DataFrame:
+    """One row ``sequences, least, tokens, fill`` of a packing: its sequences, and the least number that could hold its pieces."""
+    per = packed.groupBy("sequence_id").agg(F.sum("length").alias("n"))
+    full, rest = F.count_if(F.col("n") == capacity), F.coalesce(F.sum(F.when(F.col("n") < capacity, F.col("n"))), F.lit(0))
+    tokens = F.coalesce(F.sum("n"), F.lit(0))
+    return per.agg(F.count("*").alias("sequences"), (full + F.ceil(rest / capacity)).alias("least"), tokens.alias("tokens"), (tokens / (F.greatest(F.count("*"), F.lit(1)) * capacity)).alias("fill"))
