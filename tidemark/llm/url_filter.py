@@ -5,8 +5,13 @@ prefixes of its path, limited to the shapes that some rule has, which leaves out
 on the first 32 bits of their digests, and the full digest confirms. Of the rules that fit, the longest host and
 path together wins, then the longer host, then ``block``.
 
+Where the rules are few enough to be broadcast and have few shapes, every shape (labels of the host, length of the path)
+is one equi-join with the broadcast rules, and rows are judged where they lie. Else expressions of the distinct places
+meet the rules by shuffling, and the verdicts of the places that have one go back to the rows.
+
 Nulls and odd rows: a null URL, or one without ``://``, has an empty host and path and gets the default; repeated rows
-stay; an empty table or an empty rule list works; extra columns are ignored."""
+stay; very long URLs are judged whole, by as many expressions as rules have shapes; rules alike in host and path are one,
+``block`` before ``allow``; an empty table or an empty rule list works; extra columns are ignored."""
 
 from __future__ import annotations
 
@@ -16,6 +21,8 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rules up to this number are broadcast (a few dozen bytes each); more are joined by shuffling.
 BROADCAST_RULES = 50_000
+#: Shapes of rules up to this number are joined one by one.
+MAX_SHAPES = 32
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -56,18 +63,29 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", url_col: s
     """``page_id, url, host, path, rule, verdict`` of every row."""
     rules = rules.select(F.translate("rule_host", UPPER, LOWER).alias("rule_host"), "rule_path", "verdict").where("rule_host IS NOT NULL AND rule_path IS NOT NULL")
     rules = rules.groupBy("rule_host", "rule_path").agg(F.max("verdict").alias("verdict"))  # block after allow
-    shape = rules.agg(F.count("*"), F.collect_set(F.size(F.split("rule_host", F.lit(r"\."), F.lit(-1)))), F.collect_set(F.length("rule_path"))).first()
-    count, labels, lengths = shape[0], sorted(shape[1]), sorted(shape[2])
+    shape = rules.agg(F.count("*"), F.collect_set(F.struct(F.size(F.split("rule_host", F.lit(r"\."), F.lit(-1))).alias("labels"), F.length("rule_path").alias("length")))).first()
+    count, shapes = shape[0], sorted((s["labels"], s["length"]) for s in shape[1])
     host, path = split_url(F.col(url_col))
     rows = pages.select(F.col(key), F.col(url_col), host.alias("host"), path.alias("path"))
     if not count:
         return rows.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
+    known = rules.withColumn("rule_digest", digest(F.col("rule_host"), F.col("rule_path"))).withColumn("prefix", prefix(F.col("rule_digest")))
+    strength = F.struct((F.length("rule_host") + F.length("rule_path")).alias("n"), F.length("rule_host").alias("h"), F.col("verdict").alias("v"), F.concat("rule_host", "rule_path").alias("rule"))
+    known = known.select("prefix", "rule_digest", strength.alias("strength"))
+    if count <= BROADCAST_RULES and len(shapes) <= MAX_SHAPES:
+        out, held = rows.withColumn("_best", F.lit(None).cast(known.schema["strength"].dataType)), F.broadcast(known)
+        for labels, length in shapes:
+            h, p = F.get(host_suffixes(F.col("host"), [labels]), 0), F.get(path_prefixes(F.col("path"), [length]), 0)
+            out = out.withColumn("_digest", digest(h, p)).withColumn("_prefix", prefix(F.col("_digest")))
+            out = out.join(held, (F.col("_prefix") == F.col("prefix")) & (F.col("_digest") == F.col("rule_digest")), "left")
+            # greatest passes over nulls
+            out = out.select(key, url_col, "host", "path", F.greatest("_best", "strength").alias("_best"))
+        return out.select(key, url_col, "host", "path", F.col("_best.rule").alias("rule"), F.coalesce("_best.v", F.lit(default)).alias("verdict"))
+    labels, lengths = sorted({a for a, _ in shapes}), sorted({b for _, b in shapes})
     places = rows.select("host", "path").distinct()
     exprs = places.withColumn("h", F.explode(host_suffixes(F.col("host"), labels))).withColumn("p", F.explode(path_prefixes(F.col("path"), lengths)))
     exprs = exprs.withColumn("digest", digest(F.col("h"), F.col("p"))).select("host", "path", "digest", prefix(F.col("digest")).alias("prefix"))
-    known = rules.withColumn("rule_digest", digest(F.col("rule_host"), F.col("rule_path"))).withColumn("prefix", prefix(F.col("rule_digest")))
     hits = exprs.join(F.broadcast(known) if count <= BROADCAST_RULES else known, "prefix").where("digest = rule_digest")
-    strength = F.struct((F.length("rule_host") + F.length("rule_path")).alias("n"), F.length("rule_host").alias("h"), F.col("verdict").alias("v"))
-    best = hits.groupBy("host", "path").agg(F.max_by(F.struct(F.concat("rule_host", "rule_path").alias("rule"), "verdict"), strength).alias("best"))
+    best = hits.groupBy("host", "path").agg(F.max("strength").alias("best"))
     out = rows.join(best, ["host", "path"], "left")
-    return out.select(key, url_col, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    return out.select(key, url_col, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.v", F.lit(default)).alias("verdict"))
