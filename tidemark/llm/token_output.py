@@ -8,11 +8,12 @@ half-done. A segment holds consecutive documents in ascending id order:
     select samples: position of every 64th one bit (u32 each); token ids, one after the other.
 
 The borders are the n + 1 running totals of the documents' lengths. Their low ``l`` bits stand packed, their high bits
-as gaps in unary, in about 2 + log2(u / n) bits a document instead of 64. The samples let :func:`select` find one
-document's offset without decoding the others.
+as gaps in unary, in about 2 + log2(u / n) bits a document instead of 64. The samples let :meth:`Segment.select` find
+one document's offset, and :meth:`Segment.borders` those of a run of documents, without decoding the others.
 
-Nulls and odd rows: a null text is empty (its end id alone); null ids come first; repeated rows stay repeated, in any
-order among themselves; an empty table makes a table without segments; other columns are ignored."""
+Nulls and odd rows: a null text is empty (its end id alone); null ids come first; repeated ids and rows stay repeated, in any
+order among themselves, and may fall into several ranges; a document longer than a segment is one segment; an empty table
+makes a table without segments; other columns are ignored."""
 
 from __future__ import annotations
 
@@ -24,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import settle, slices
 from tidemark.session import ship
 
 MAGIC = b"TMEF1"
@@ -89,14 +91,20 @@ class Segment:
             low |= (int(self.low[bit // 8]) >> (bit % 8) & 1) << k
         return (place - i) << self.low_bits | low
 
-    def borders(self) -> np.ndarray:
-        """All borders at once."""
-        count = self.n + 1
-        high = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[:count] - np.arange(count)
+    def borders(self, first: int = 0, last: int | None = None) -> np.ndarray:
+        """The borders ``first`` to ``last``, read between the samples around them."""
+        last = self.n if last is None else last
+        count, sample, after = last - first + 1, first // SAMPLE, last // SAMPLE + 1
+        begin = int(self.samples[sample]) // 8
+        end = int(self.samples[after]) // 8 + 1 if after < len(self.samples) else len(self.high)
+        ones = np.flatnonzero(np.unpackbits(self.high[begin:end], bitorder="little")) + begin * 8
+        ones = ones[np.searchsorted(ones, self.samples[sample]) + first - sample * SAMPLE :][:count]
+        high = ones - np.arange(first, last + 1)
         if not self.low_bits:
             return high
-        bits = np.unpackbits(self.low, bitorder="little", count=count * self.low_bits).reshape(count, self.low_bits)
-        return high << self.low_bits | bits.astype(np.int64) @ (1 << np.arange(self.low_bits, dtype=np.int64))
+        at = first * self.low_bits
+        bits = np.unpackbits(self.low[at // 8 : ((last + 1) * self.low_bits + 7) // 8], bitorder="little")[at % 8 :][: count * self.low_bits]
+        return high << self.low_bits | bits.reshape(count, self.low_bits).astype(np.int64) @ (1 << np.arange(self.low_bits, dtype=np.int64))
 
     def document(self, i: int) -> np.ndarray:
         return self.ids[self.select(i) : self.select(i + 1)]
@@ -122,8 +130,7 @@ def write_tokens(docs: DataFrame, path: str, end_id: int | None = 0, tokenizer:
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([size], pa.int64()), pa.array([keys], pa.list_(pa.int64())), pa.array([encode_segment(ids, width)], pa.binary())], names)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                rows = batch.slice(at, 256)
+            for rows in slices(batch, 1, 256):
                 for key, x in zip(rows.column(0).to_pylist(), enc.encode(rows.column(1).to_pylist())):
                     x += tail
                     if ids and size + len(x) // 4 > segment_tokens:
@@ -134,11 +141,14 @@ def write_tokens(docs: DataFrame, path: str, end_id: int | None = 0, tokenizer:
                     size += len(x) // 4
         if ids:
             yield segment()
+        settle()
 
     spark = docs.sparkSession
-    plain = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    # hashes and places part the rows of one id, and copies
+    plain = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(text_col).alias("mark"), F.monotonically_increasing_id().alias("place"))
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    plain = plain.repartitionByRange(ranges, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    order = [F.col("doc_id").asc_nulls_first(), "mark", "place"]
+    plain = plain.repartitionByRange(ranges, *order).sortWithinPartitions(*order).select("doc_id", "text")
     plain.mapInArrow(run, "part int, seq int, n_docs bigint, n_tokens bigint, doc_ids array<bigint>, data binary").write.parquet(path)
 
 
@@ -158,11 +168,12 @@ def read_tokens(spark: SparkSession, path: str, **values: Column) -> DataFrame:
         for batch in batches:
             for part, seq, keys, data in zip(*(batch.column(k).to_pylist() for k in range(4))):
                 s = Segment(data)
-                ends = s.borders()
                 for at in range(0, s.n, 1024):
-                    some = range(at, min(at + 1024, s.n))
-                    ids = [s.ids[ends[i] : ends[i + 1]].astype("<u4").tobytes() for i in some]
-                    yield pa.RecordBatch.from_arrays([pa.array([part] * len(some), pa.int32()), pa.array([seq] * len(some), pa.int32()), pa.array(keys[at : at + 1024], pa.int64()), pa.array(ends[some.start : some.stop], pa.int64()), pa.array(np.diff(ends[some.start : some.stop + 1]), pa.int64()), pa.array(ids, pa.binary())], names)
+                    ends = s.borders(at, min(at + 1024, s.n))
+                    n = len(ends) - 1
+                    ids = [s.ids[a:b].astype("<u4").tobytes() for a, b in zip(ends, ends[1:])]
+                    yield pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), pa.array([seq] * n, pa.int32()), pa.array(keys[at : at + 1024], pa.int64()), pa.array(ends[:-1], pa.int64()), pa.array(np.diff(ends), pa.int64()), pa.array(ids, pa.binary())], names)
+        settle()
 
     by_part = segments.groupBy("part").agg(F.sum("n_tokens").alias("total"))
     by_part = by_part.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("before"))
