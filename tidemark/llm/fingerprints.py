@@ -12,10 +12,13 @@ documents share, with an error of about one over the square root of the number o
 
 Nulls and odd rows: a null or empty text is the empty multiset, its vector zero; two such are alike (1.0), one and
 another text are not (0.0); a paragraph of fewer words than a shingle is one shingle, one without words none; repeated
-paragraphs and rows count as often as they occur; extra columns are ignored."""
+paragraphs and rows count as often as they occur; counters of texts of more than 65,535 shingles wrap, so their
+likeness is that of the wrapped counts; very long texts are hashed whole; an empty table gives an empty result; extra
+columns are ignored."""
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -152,36 +155,50 @@ def likeness(a: Column, b: Column, signs_a: Column | None = None, signs_b: Colum
     return F.when(a == b, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(cosine, F.lit(0.0)))))
 
 
-def with_next(docs: DataFrame, bucket_rows: int = 5000, max_buckets: int = 4096) -> DataFrame:
-    """``doc_id, text, next_text``: the text of the next document by ascending id (null ids first, equal ids by text);
-    after the last comes the first.
+def with_next(docs: DataFrame, bucket_rows: int = 5000, max_buckets: int = 16_384) -> DataFrame:
+    """``doc_id, text, next_text``: the text of the next document by ascending id (null ids first, equal ids by a hash
+    of the text, then the text); after the last comes the first.
 
-    Ids fall into buckets between approximate quantiles, found by a two-level search in constant arrays; each bucket is
-    sorted by itself and ends with a copy of the next bucket's first row. So no task sorts all rows."""
+    Ids fall into buckets between approximate quantiles, found by a two-level search in constant arrays; an id that is
+    several quantiles, and null, is cut into as many buckets by the hash. Each bucket is sorted by itself and ends with a
+    copy of the next bucket's first row. So no task sorts all rows; only rows equal in id and text are never parted."""
     d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    count = d.count()
+    d = d.withColumn("mark", F.shiftrightunsigned(F.xxhash64("text"), 1))
+    count, known = d.agg(F.count("*"), F.count("doc_id")).first()
     k = max(1, min(max_buckets, -(-count // bucket_rows)))
-    splits = []
+    found = []
     if k > 1:
-        got = d.agg(F.percentile_approx("doc_id", [i / k for i in range(1, k)], 100_000)).first()[0]
-        splits = sorted(set(got or []))
+        found = d.agg(F.percentile_approx("doc_id", [i / k for i in range(1, k)], max(100_000, 8 * k))).first()[0] or []
+    splits = sorted(set(found))
     step = max(1, int(len(splits) ** 0.5))
-    tops = splits[::step]
-    groups = [splits[i : i + step] for i in range(0, len(splits), step)]
     bucket = F.lit(0)
     if splits:
+        tops = splits[::step]
+        inner = F.array(*(F.array(*map(F.lit, splits[i : i + step])) for i in range(0, len(splits), step)))
         top = F.size(F.filter(F.array(*map(F.lit, tops)), lambda x: x <= F.col("doc_id")))
-        inner = F.array(*(F.array(*map(F.lit, g)) for g in groups))
         bucket = F.when(F.col("doc_id").isNull() | (top == 0), F.lit(0)).otherwise((top - 1) * step + F.size(F.filter(F.get(inner, top - 1), lambda x: x <= F.col("doc_id"))))
-    d = d.withColumn("bucket", bucket.cast("int"))
-    order = F.struct(F.col("doc_id").isNotNull().alias("a"), F.col("doc_id").alias("b"), F.col("text").alias("c"))
+
+    def part(n: Column) -> Column:
+        """One of ``n`` equal ranges of the hash."""
+        return F.floor(F.col("mark") / (F.lit(2.0**63) / n)).cast("int")
+
+    # within a bucket of ids: null ids, then an id that is the bucket's border in parts, then the others
+    nulls, often, rest = max(1, -(-(count - known) // bucket_rows)), Counter(found), F.lit(1 << 30)
+    d = d.withColumn("ids", bucket.cast("int"))
+    side = F.when(F.col("doc_id").isNull(), part(F.lit(nulls)) - (1 << 30)).otherwise(rest)
+    if len(found) > len(splits):
+        at, parts = F.col("ids") - 1, F.get(F.array(*(F.lit(often[x]) for x in splits)), F.col("ids") - 1)
+        border = F.coalesce((F.col("doc_id") == F.get(F.array(*map(F.lit, splits)), at)) & (parts > 1), F.lit(False))
+        side = F.when(border, part(parts)).otherwise(side)
+    d = d.withColumn("bucket", F.struct("ids", side.alias("side"))).drop("ids")
+    order = F.struct(F.col("doc_id").isNotNull().alias("a"), F.col("doc_id").alias("b"), F.col("mark").alias("m"), F.col("text").alias("c"))
     firsts = d.groupBy("bucket").agg(F.min(order).alias("f"))
     line = Window.orderBy("bucket")
     after = F.coalesce(F.lead("f").over(line), F.first("f").over(line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    ends = firsts.select(after.alias("f"), "bucket").select("f.b", "f.c", "bucket", F.lit(1).alias("end"))
-    rows = d.select(F.col("doc_id").alias("b"), F.col("text").alias("c"), "bucket", F.lit(0).alias("end")).unionByName(ends)
+    ends = firsts.select(after.alias("f"), "bucket").select("f.b", "f.c", "f.m", "bucket", F.lit(1).alias("end"))
+    rows = d.select(F.col("doc_id").alias("b"), F.col("text").alias("c"), F.col("mark").alias("m"), "bucket", F.lit(0).alias("end")).unionByName(ends)
     rows = rows.withColumn("v", vector(F.col("c")))
-    w = Window.partitionBy("bucket").orderBy("end", F.col("b").asc_nulls_first(), "c")
+    w = Window.partitionBy("bucket").orderBy("end", F.col("b").asc_nulls_first(), "m", "c")
     rows = rows.withColumns({"next_text": F.lead("c").over(w), "next_v": F.lead("v").over(w)})
     return rows.where("end = 0").select(F.col("b").alias("doc_id"), F.col("c").alias("text"), "v", "next_text", "next_v")
 
