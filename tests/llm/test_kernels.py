@@ -41,6 +41,26 @@ def test_encoder_is_exact():
     assert e.encode(texts) == [e._whole(t) if t else b"" for t in texts]
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet=st.one_of(st.sampled_from(" \n\t.,'!12<|>aeTé"), st.characters(exclude_categories=["Cs"])), max_size=60), min_size=1, max_size=8))
+def test_encoder_fuzz(texts):
+    """The cached encoder against the library's encoding of whole texts."""
+    tokens = pytest.importorskip("tidemark.llm.tokens")
+    e = tokens.encoder()
+    want = [np.array(e.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert e.encode(texts) == want
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 3000), min_size=1, max_size=400), st.data())
+def test_borders_of_runs(lengths, data):
+    s = token_output.Segment(token_output.encode_segment([b"\0\0\0\0" * n for n in lengths], 4))
+    first = data.draw(st.integers(0, len(lengths)))
+    last = data.draw(st.integers(first, len(lengths)))
+    ends = np.concatenate(([0], np.cumsum(lengths)))
+    assert s.borders(first, last).tolist() == ends[first : last + 1].tolist() == [s.select(i) for i in range(first, last + 1)]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 100), max_size=60))
 def test_packing(lengths):
@@ -122,6 +142,26 @@ def test_grams():
         (None, ""),
         ("<header><p>h</p></header><article><header><h1>t</h1></header><p>b</p></article>", "t\nb"),
         ("<ul><li><a href=1>x</a><li><a href=2>y</a></ul><p>text", "text"),
+        ('<article><h2 class="section-header">Heading</h2><p>Body', "Heading\nBody"),
+        ('<article><p>The share of the <span class="share">profit</span> is', "The share of the profit is"),
+        ('<article><header class="post-header"><h1>Title</h1></header><p>b</article>', "Title\nb"),
+        ('<div class="post"><p>text</p></div><div id="comments"><article class="comment"><p>c1', "text"),
+        ('<article><p>a text that is long</p><section id="comments"><article><p>c1</article></section></article>', "a text that is long"),
+        ('<article><p>a</p></article><article class="comment"><p>c</p></article>', "a"),
+        ("<main><h1>T</h1></main><article><p>real article text", "T\nreal article text"),
+        ("<main></main><article><p>real", "real"),
+        ('<p title="5" tall">Hello', "Hello"),
+        ("<p data-x=it's>Two", "Two"),
+        ("x<y text</p><p>more", "x\nmore"),
+        ("a < b and 3<4", "a < b and 3<4"),
+        ('<div class="no-comments"><article><p>t</article></div>', "t"),
+        ('<a title="a>b" href=x>l</a> t<br/>u<p / >v', "l t u\nv"),
+        ("<!--> a --><p>b<!-- x --!>c</ >d</p>", "a -->\nbcd"),
+        ("<b><p>x</b> more</p><p>y", "x more\ny"),
+        ("<table><tr><td>a<p>b</td><td>c</table>d", "a\nb\nc\nd"),
+        ('<article class="post comments-open"><p>x<p hidden>y<div style="display: none">z</div>', "x"),
+        ('<div class="layout with-sidebar"><article><h1>T</h1><p>p</article></div><aside>s', "T\np"),
+        ('<article><p>the whole long body</p><div class="share-links">tell</div><p class="ad">buy</p><ul class=newsletter><li>n</ul></article>', "the whole long body"),
     ],
 )
 def test_main_text(page, text):

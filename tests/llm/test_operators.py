@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -75,6 +76,26 @@ def test_ngram_join_odd_tables(spark):
     rows = [(1, "a b c d", "en", "s"), (1, "a b c d", "en", "s"), (None, "a b c d", "en", "s"), (2, "a b c d", "en", "s")]
     got = sorted((r["doc_id"] or -1, r["component_id"]) for r in NgramJaccard().components(docs(spark, rows)).collect())
     assert got == [(-1, None), (1, 1), (1, 1), (2, 1)]
+    shared = [(2, "a b c d", "en", "s"), (2, "x y z w", "en", "s"), (1, "x y z w", "en", "s"), (3, "a b c d", "en", "s"), (4, "p q r s", "en", "s"), (4, "p q r s", "en", "s"), (5, None, "en", "s"), (5, "p q r s", "en", "s")]
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in NgramJaccard().components(docs(spark, shared)).collect())
+    assert got == [(1, 2, 1), (2, 2, 1), (2, 2, 1), (3, 2, 1), (4, 2, 4), (4, 2, 4), (5, 0, 5), (5, 2, 4)]
+
+
+def test_ngram_join_long_texts_and_hot_lists(spark):
+    rng = random.Random(5)
+    base = words(rng, 3000, 10**6).split()
+    rows = []
+    for i in range(70):  # long near copies, some of them similar only to a few others
+        w = list(base)
+        for _ in range(rng.randrange(90)):
+            w[rng.randrange(len(w))] = f"y{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w), "en", "s"))
+    for i in range(70, 100):  # one frequent passage
+        rows.append((i, "the one passage that all of them hold " * 2 + words(rng, rng.randrange(3)), "en", "s"))
+    got = {r["doc_id"]: r["component_id"] for r in NgramJaccard(3, 90, 100, chunk=6).components(docs(spark, rows)).collect()}
+    sets = {i: set(zip(*(t.split()[k:] for k in range(3)))) for i, t, *_ in rows}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b])]
+    assert got == components(sets, links)
 
 
 def test_pack(spark, corpus):
@@ -97,6 +118,62 @@ def test_pack(spark, corpus):
     assert packing.pack_documents(docs(spark, [])).count() == 0
 
 
+def library_ids(text, end_id):
+    """Ids by the tokenizers library itself."""
+    import public_tokenizers
+    import tokenizers
+
+    global _library
+    _library = globals().get("_library") or tokenizers.Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
+    return [*_library.encode(text or "", add_special_tokens=False).ids, end_id]
+
+
+def crc(ids):
+    return zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
+def test_pack_pieces_are_exact(spark, corpus):
+    """Every column against the library's ids, with the documents cut by the rule; and the number of sequences."""
+    many = [(None, f"same id {i % 7}", "en", "s") for i in range(300)] + [(7, f"one id {i}", "en", "s") for i in range(300)]
+    rows = [*corpus, corpus[0], *many]
+    packed = packing.pack_documents(docs(spark, rows), capacity=64, group_pieces=100)
+    want = Counter()
+    for i, t, *_ in rows:
+        ids = library_ids(t, 2)
+        first = len(ids) % 64 or min(64, len(ids))
+        cuts = [0, *range(first, len(ids) + 1, 64)]
+        assert len(ids) > 64 or len(cuts) == 2
+        for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            want[i, k, a, b - a, crc(ids[a:b])] += 1
+    got = packed.collect()
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == want
+    report = packing.pack_report(packed, 64).first()
+    assert report["sequences"] == len({r["sequence_id"] for r in got}) and report["tokens"] == sum(r["length"] for r in got)
+    assert report["least"] <= report["sequences"] <= 1.06 * report["least"]
+
+
+def test_pack_a_million_tokens(spark):
+    rows = [(1, "a b c d " * 250_000, "en", "s"), (2, "x", "en", "s")]
+    packed = packing.pack_documents(docs(spark, rows), group_pieces=64).cache()
+    n = packed.where("doc_id = 1").agg(F.sum("length"), F.count("*"), F.count_distinct("sequence_id")).first()
+    assert n[0] >= 10**6 and n[1] == n[2] == -(-n[0] // 1024)
+    groups = packed.select(F.shiftright("sequence_id", 32).alias("g")).groupBy("g").count()
+    assert groups.count() > 8
+    packed.unpersist()
+
+
+def test_tokens_against_the_library(spark, corpus, tmp_path):
+    """All columns against the library, with one id in many rows and a document longer than a segment."""
+    rows = [*corpus, *((5000, f"one id {i}", "en", "s") for i in range(40)), *((5000, "copy", "en", "s") for _ in range(40))]
+    path = f"file://{tmp_path}/t"
+    token_output.write_tokens(docs(spark, rows), path, segment_tokens=300)
+    got = token_output.read_tokens(spark, path, ids_crc32=F.crc32("ids")).orderBy("start").collect()
+    want = Counter((i, len(ids), crc(ids)) for i, ids in ((r[0], library_ids(r[1], 0)) for r in rows))
+    assert Counter((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in got) == want
+    assert [r["doc_id"] for r in got] == sorted(r[0] for r in rows)
+    assert [r["start"] for r in got] == np.cumsum([0, *(r["n_tokens"] for r in got)])[:-1].tolist()
+
+
 def test_tokens_round_trip(spark, corpus, tmp_path):
     from tidemark.llm.tokens import encoder
 
@@ -136,6 +213,70 @@ def test_mix(spark, corpus):
     assert mixing.taken(*mixing.mix(docs(spark, []))).count() == 0
 
 
+def test_mix_is_the_plain_schedule(spark, corpus):
+    """Spans against a plain walk through the schedule, with places taken from ``sizes``."""
+    block = 16
+    d = docs(spark, [*corpus, *corpus[5:9], *([corpus[7]] * 3)])
+    spans, sizes = mixing.mix(d, block=block)
+    rows = sizes.collect()
+    size, target = Counter(), {}
+    for r in rows:
+        size[r["source"]] += r["size"]
+        target[r["source"]] = r["target"]
+    order = sorted(size, key=lambda s: (s is None, s or ""))
+    weight = {s: (5.0, 2.0, 1.0)[k % 3] for k, s in enumerate(order)}
+    want, open_ = {}, set(order)
+    while True:  # share out, fix what is above its cap, share out the rest
+        left = (1.5 * sum(size.values()) - sum(want.values())) / sum(weight[s] for s in open_)
+        above = {s for s in open_ if left * weight[s] >= 2 * size[s]}
+        if not above:
+            break
+        want |= {s: 2.0 * size[s] for s in above}
+        open_ -= above
+    want |= {s: left * weight[s] for s in open_}
+    assert all(abs(want[s] - target[s]) < 1e-6 for s in order)
+    for s in order:  # places lie one after the other
+        at = 0
+        for r in sorted((r for r in rows if r["source"] == s), key=lambda r: (r["at"], r["size"])):
+            if r["size"]:
+                assert r["at"] == at
+                at += r["size"]
+    used = [s for s in order if target[s] > 0]
+    total = sum(target[s] for s in used)
+    need = {s: math.ceil(target[s] / block) for s in used}
+    ends = np.cumsum([target[s] for s in used]) / total
+    slots, ranks = [], Counter()
+    for i in range(int(total // block)):
+        point = (i + 1) * 0.6180339887498949 % 1
+        s = used[min(int(np.searchsorted(ends, point, side="right")), len(used) - 1)]
+        slots.append((s, ranks[s]))
+        ranks[s] += 1
+    tail = sorted(((k, used.index(s), s) for s in used for k in range(ranks[s], need[s])))
+    slots += [(s, k) for k, _, s in tail]
+    where = {x: i for i, x in enumerate(slots)}
+    plain = Counter()
+    for r in rows:
+        for p in range(2):
+            begin = r["at"] + p * size[r["source"]]
+            end = min(begin + r["size"], round(r["target"]))
+            for k in range(begin // block, -(-end // block) if end > begin else 0):
+                low, high = max(begin, k * block), min(end, (k + 1) * block)
+                plain[where[r["source"], k], r["doc_id"], r["source"], r["at"], p, low - begin, high - low] += 1
+    got = Counter((r["slot"], r["doc_id"], r["source"], r["at"], r["pass"], r["first"], r["n"]) for r in spans.collect())
+    assert got == plain
+
+
+def test_mix_odd_rows(spark):
+    rows = [(7, "aa bb cc", "en", None), (7, None, "en", "aa bb cc"), (None, None, None, None), (None, "a b", "en", "s"), (None, "a b", "en", "s"), (3, "", "en", "s")] + [(9, "x y z", "en", "t")] * 3000
+    got = mixing.taken(*mixing.mix(docs(spark, rows), block=4, bucket_rows=500)).collect()
+    assert len(got) == len(rows) and all(0 <= r["taken"] <= 2 * r["size"] for r in got)
+    by = {(r["doc_id"], r["source"]): r["taken"] for r in got if r["doc_id"] == 7}
+    assert by[7, "aa bb cc"] == 0 and by[7, None] > 0
+    assert abs(sum(r["taken"] for r in got if r["source"] == "t") - next(r["target"] for r in got if r["source"] == "t")) <= 1
+    clash = docs(spark, rows[:6]).withColumns({c: F.lit(1) for c in ("n", "row_key", "key_a", "at", "size", "slot", "bucket")})
+    assert mixing.taken(*mixing.mix(clash)).count() == 6
+
+
 def test_targets_refill(spark):
     t = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 1000), (None, 0)], "source string, source_size long")
     got = {r["source"]: r["target"] for r in mixing.source_targets(t).collect()}
@@ -158,6 +299,27 @@ def test_fingerprints(spark, corpus):
     assert fingerprints.fingerprint_edits(docs(spark, [])).count() == 0
 
 
+def test_fingerprint_lanes_are_plain_counts(spark):
+    """Lanes against counts of the bits of shingle hashes, and order, copies and null or one id in many rows."""
+    text = "one two three four five six seven\nb\n\nb\neight nine"
+    grams = ["one two three four five", "two three four five six", "three four five six seven", "b", "b", "eight nine"]
+    hashes = spark.createDataFrame([(k, g.split()) for k, g in enumerate(grams)], "k int, w array<string>").select(F.xxhash64("w").alias("h"), F.xxhash64(F.xxhash64("w"), F.lit(1)).alias("h1")).collect()
+    v = spark.createDataFrame([(text,)], "t string").select(fingerprints.vector(F.col("t"))).first()[0]
+    assert v[2] == len(grams)
+    for lane, name in enumerate(("h", "h1")):
+        for bit in range(64):
+            field = v[3 + 16 * lane + bit % 16] >> 16 * (bit // 16) & 0xFFFF
+            assert field == sum(h[name] >> bit & 1 for h in hashes)
+    rows = [(None, f"t {i}", "en", "s") for i in range(60)] + [(4, f"u {i}", "en", "s") for i in range(60)] + [(5 + i, "v", "en", "s") for i in range(9)]
+    d = docs(spark, rows)
+    got = fingerprints.with_next(d, bucket_rows=10).select("doc_id", "text", "next_text").collect()
+    assert Counter((r["doc_id"], r["text"]) for r in got) == Counter((i, t) for i, t, *_ in rows)
+    after = {(r["doc_id"], r["text"]): r["next_text"] for r in got if r["doc_id"] is None or r["doc_id"] == 4}
+    assert len(set(after.values())) == 120  # a chain: null ids, then those of the one id, then the first of the rest
+    assert [r["next_text"] for r in got if r["doc_id"] == 13][0].startswith("t ")
+    assert [r["next_text"] for r in got if r["doc_id"] == 6] == ["v"]
+
+
 def test_fingerprints_are_homomorphic(spark):
     a, b = "one two three four five six\nseven eight", "nine ten eleven\n\ntwelve " + "z " * 40
     df = spark.createDataFrame([(a, b, b + "\n" + a)], "a string, b string, c string")
@@ -179,8 +341,8 @@ def test_chat(spark):
     assert chat_format.format_chats(df.limit(0)).count() == 0
 
 
-def test_urls(spark):
-    urls = ["http://EXAMPLE.net/en/x?q", "https://a.b.example.net/de/", "http://example.com/de", "http://x.org/fr/#t", "http://net", "http://notnet/", "http://a.net?x=/", None, "no host", "ftp://example.com/de/1://z"]
+def test_urls(spark, monkeypatch):
+    urls = ["http://EXAMPLE.net/en/x?q", "https://a.b.example.net/de/", "http://example.com/de", "http://x.org/fr/#t", "http://net", "http://notnet/", "http://a.net?x=/", None, "no host", "ftp://example.com/de/1://z", "http://example.com/de/" + "long/" * 20000, "http://" + "a." * 5000 + "net/"]
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("host", F.lit("clash"))
     rules = url_filter.rule_table(spark, queries.URL_RULES)
     got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judge(df, rules).collect()}
@@ -192,6 +354,10 @@ def test_urls(spark):
         fits = [(h + p, v) for v, h, p in queries.URL_RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
         rule, verdict = max(fits, key=lambda x: len(x[0])) if fits else (None, "allow")
         assert got[i] == (host, path, rule, verdict)
+    monkeypatch.setattr(url_filter, "MAX_SHAPES", 0)
+    assert {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judge(df, rules).collect()} == got
+    monkeypatch.setattr(url_filter, "BROADCAST_RULES", 0)
+    assert {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judge(df, rules).collect()} == got
     none = spark.createDataFrame([], "rule_host string, rule_path string, verdict string")
     assert url_filter.judge(df, none).where("verdict = 'allow'").count() == len(urls)
     assert url_filter.judge(df.limit(0), rules).count() == 0
@@ -212,6 +378,21 @@ def test_embeddings(spark):
     root, n = components([r[0] for r in rows], links), Counter(x for p in links for x in p)
     assert got == {i: (n[i], root[i], i == root[i]) for i, *_ in rows} and len(links) > 20
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
+    clash = df.withColumns({c: F.lit(7) for c in ("e", "id", "cell", "home", "copies", "n", "salt", "d")})
+    assert {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embedding_dedup.near_duplicates(clash, 0.98, chunk=1000).collect()} == got
+
+
+def test_cells_hold_all_partners():
+    rng = np.random.default_rng(4)
+    x = embedding_dedup.unit(np.concatenate([c + rng.normal(size=(60, 16)) * 0.2 for c in rng.normal(size=(6, 16))]).tolist())
+    pivots = embedding_dedup.farthest_first(x, 6)
+    reach = math.sqrt(2 - 2 * 0.98)
+    who, cell, home = embedding_dedup.cells(x, pivots, reach)
+    own = dict(zip(who[home].tolist(), cell[home].tolist()))
+    held = set(zip(who.tolist(), cell.tolist()))
+    i, j = np.nonzero(x @ x.T >= 0.98)
+    assert len(own) == len(x) and all((a, own[b]) in held for a, b in zip(i.tolist(), j.tolist()))
+    assert len(who) < 2 * len(x)  # clusters keep most vectors in one cell
 
 
 def kneser_ney(train, order):
@@ -250,7 +431,7 @@ def test_quality(spark):
         if i < 60:
             labels.append((i, int(not junk), 0))
     rows += [(100, None, "en", "s"), (101, "", None, "s"), (None, "the river", "en", "s"), (102, "the stone", "xx", "s"), (102, "the stone", "xx", "s")]
-    model = quality_lm.QualityModel(order=3, shard_docs=16, least=3)
+    model = quality_lm.QualityModel(order=3, shard_bytes=2000, least=3)
     lab = spark.createDataFrame(labels + [(0, 0, 0)], "doc_id long, quality int, toxic int")
     out = model.classify(docs(spark, rows), lab).collect()
     assert len(out) == len(rows)
@@ -263,6 +444,17 @@ def test_quality(spark):
             text = next(x[1] for x in rows if x[0] == r["doc_id"]).encode()
             want = math.exp(-np.mean([math.log(p(g, 3)) for g in quality_lm.grams(np.frombuffer(text, np.uint8), 3).tolist()]))
             assert abs(r["perplexity"] / want - 1) < 1e-4
+    # ids at both ends of a long, one id and null ids in many rows, and a long text
+    far = [(-(2**63) + 5, rows[0][1], "en", "s"), (2**63 - 3, rows[1][1], "en", "s"), (400, "the green river " * 9000, "en", "s")]
+    far += [(None, rows[i][1], "en", "s") for i in range(60)] + [(300, rows[i][1], "en", "s") for i in range(60)]
+    wide = model.classify(docs(spark, rows + far), lab).collect()
+    mean = {(r["lang"], r["n_bytes"], r["doc_id"]): r["perplexity"] for r in out}
+    assert len(wide) == len(rows) + len(far)
+    assert all(abs(r["perplexity"] / mean[r["lang"], r["n_bytes"], r["doc_id"]] - 1) < 1e-9 for r in wide if (r["lang"], r["n_bytes"], r["doc_id"]) in mean and r["doc_id"] is not None and r["n_bytes"])
+    shards = model._shards(docs(spark, rows + far))
+    held = model._packed(docs(spark, rows + far), lab).toArrow()
+    size = Counter(shards(held["id"].combine_chunks(), held["mark"].combine_chunks()).tolist())
+    assert len(size) > 8 and max(size.values()) < 60
     assert model.classify(docs(spark, []), lab).count() == 0
     assert model.classify(docs(spark, rows), lab.limit(0)).where("keep").count() == len(rows) - 2
 
@@ -278,6 +470,85 @@ def test_style_tree_cuts_templates(spark):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+def test_style_tree_is_the_plain_one(spark):
+    """Composite importance against a plain recursion over the merged pages of a host."""
+    rng = random.Random(6)
+    pages = []
+    for i in range(30):
+        body = f"<div class=a><p>own {i % 9}</p>" + "<p>said by all</p>" * (i % 3) + "</div>"
+        body += "<div class=b><span>menu</span><ul>" + "".join(f"<li>{w}</li>" for w in ("x", "y", "z")[: 1 + i % 2]) + "</ul></div>"
+        body += f"<section><div><h3>{'news' if i % 5 else 'other'}</h3><p>{rng.randrange(4)}</p></div></section>" if i % 4 else ""
+        pages.append("<div class=all>" + body + "</div>")
+    df = spark.createDataFrame([(i, "http://h.net/", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    got = {r["path"]: (r["pages"], r["importance"], r["branch"]) for r in html_extract.style_tree(df).collect()}
+
+    read = {}
+    for p in pages:
+        page = html_extract.Page(p)
+        read.setdefault(page.text(), page)
+    found, kids = {}, {}
+    for page in read.values():
+        for path, above in page.above.items():
+            have = found.setdefault(path, {"m": 0, "styles": Counter(), "texts": Counter()})
+            have["m"] += 1
+            have["styles"].update(set(page.styles[path]))
+            have["texts"].update({t for k, t in page.blocks if k == path})
+            if above:
+                kids.setdefault(above[-1], set()).add(path)
+
+    def importance(path):
+        x = found[path]
+        if x["m"] == 1:
+            return 1.0
+        return inner(path)
+
+    def inner(path):
+        x = found[path]
+        shown, m = sum(x["styles"].values()), x["m"]
+        look = -sum(n / shown * math.log(n / shown) for n in x["styles"].values()) / math.log(shown + 2) if shown > 1 else 1.0
+        texts = x["texts"]
+        told = 1 - sum(n * math.log(n) / math.log(m + 2) for n in texts.values()) / sum(texts.values()) if texts else 0.0
+        share = 0.9 ** len(x["styles"])
+        parts = [(min(sum(texts.values()), m), told)] + [(found[k]["m"], inner(k)) for k in kids.get(path, ())]
+        weight = sum(w for w, _ in parts)
+        return (1 - share) * look + share * (sum(w * v for w, v in parts) / weight if weight else 0.0)
+
+    def branch(path):
+        return max(importance(path), *(branch(k) for k in kids.get(path, ()))) if kids.get(path) else importance(path)
+
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    assert set(got) == {signed(p) for p in found} and len(read) > 15
+    for p in found:
+        m, i, b = got[signed(p)]
+        assert m == found[p]["m"] and abs(i - importance(p)) < 1e-9 and abs(b - branch(p)) < 1e-9
+
+
+def test_style_tree_decides(spark):
+    """Pages whose text changes through the tree, and articles that it leaves alone."""
+    rows, want = [], {}
+
+    def page(host, markup, text):
+        want[len(rows)] = text
+        rows.append((len(rows), f"http://{host}/{len(rows)}", markup))
+
+    for i in range(14):  # without an article: what all pages say goes, wherever it stands
+        page("plain.net", f"<div class=x><div class=q><p>Our house</p></div><div class=r><h2>T{i}</h2><p>own {i}</p></div><div class=q2>Write to us</div></div>", f"T{i}\nown {i}")
+    for i in range(14):  # in an article: containers go, paragraphs and headings stay
+        page("art.net", f"<article><h1>All</h1><p>said by all</p><p>own text {i}</p><div class=box>Get our letters</div><div class=y><p>mine {i}</p></div></article>", f"All\nsaid by all\nown text {i}\nmine {i}")
+    for i in range(14):  # copies of one text are no template, whatever stands around them
+        page("copy.net", f"<nav>{i}</nav><div class=r><p>the one text</p></div>", "the one text")
+    for i in range(3):  # too few pages to tell
+        page("few.net", f"<div class=q>Our house</div><p>own {i}</p>", f"Our house\nown {i}")
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(df).collect()}
+    assert got == want
+    changed = [i for i, _, markup in rows if html_extract.main_text(markup) != got[i]]
+    assert set(changed) == set(range(28))
+    assert {r["page_id"]: r["text"] for r in html_extract.extract(df, broadcast_rows=0, salts=3).collect()} == want
+    again = html_extract.extract(df.union(df)).collect()
+    assert len(again) == 2 * len(rows) and all(r["text"] == want[r["page_id"]] for r in again)
+
+
 def test_quality_sees_repeated_words(spark):
     rng = random.Random(4)
     vocabulary = ["the", "of", "stone", "river", "green", "house", "and", "walks", "water", "over", "hills", "deep"]
@@ -286,7 +557,7 @@ def test_quality_sees_repeated_words(spark):
     fine = ["the the river", "green green", "stone"]
     rows = [(i, t, "en" if i % 2 else "fr", "s") for i, t in enumerate(good + junk + fine)]
     lab = spark.createDataFrame([(i, 1, 0) for i in range(120)], "doc_id long, quality int, toxic int")
-    out = quality_lm.QualityModel(order=3, shard_docs=40).classify(docs(spark, rows), lab).collect()
+    out = quality_lm.QualityModel(order=3, shard_bytes=5000).classify(docs(spark, rows), lab).collect()
     keep = {r["doc_id"]: r["keep"] for r in out}
     assert [keep[i] for i in range(len(rows))] == [True] * 120 + [False] * 5 + [True] * 3
     n, same = quality_lm.word_repeats(["a b a b a b", None, "", b"x X x", "a", "b a"])
