@@ -16,8 +16,8 @@ def norm(a: Column) -> Column:
 
 def l2_normalize(a: Column, eps: float = 1e-12) -> Column:
     """Unit vector; a zero vector stays zero."""
-    n = F.greatest(norm(a), F.lit(eps))
-    return F.transform(a, lambda x: x.cast("double") / n)
+    n = F.array(F.greatest(norm(a), F.lit(eps)))  # in an array, so that it's computed once and not for each component
+    return F.transform(n, lambda m: F.transform(a, lambda x: x.cast("double") / m))[0]
 
 
 def add(a: Column, b: Column) -> Column:

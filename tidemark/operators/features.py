@@ -74,15 +74,17 @@ def narrow(df: DataFrame) -> DataFrame:
     return df.select(*(F.coalesce(F.col(c), F.lit(0)).cast(kind(c)).alias(c) if kind(c) else F.col(c) for c in df.columns))
 
 
-def train_data(pool: DataFrame, events: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pool with labels and all features."""
+def train_data(pool: DataFrame, events: DataFrame, labels: DataFrame, unique: bool = False) -> DataFrame:
+    """The pool with labels and all features. ``unique`` says that the pool's keys are, as those of
+    :func:`~tidemark.operators.candidates.candidate_pool`; others are checked, by a job of its own."""
     require_columns(events, ("session", "aid", "ts", "type"), "events")
-    return add_history(add_stats(add_labels(check_unique(pool), labels), events), events)
+    return add_history(add_stats(add_labels(pool if unique else check_unique(pool), labels), events), events)
 
 
-def inference_data(pool: DataFrame, events: DataFrame) -> DataFrame:
+def inference_data(pool: DataFrame, events: DataFrame, unique: bool = False) -> DataFrame:
     """The pool with all features, from the events given; a label is dropped."""
-    return add_history(add_stats(check_unique(pool.drop("label")), events), events)
+    pool = pool.drop("label")
+    return add_history(add_stats(pool if unique else check_unique(pool), events), events)
 
 
 def feature_columns(df: DataFrame) -> list[str]:

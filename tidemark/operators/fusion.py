@@ -15,15 +15,14 @@ FALLBACK_ORDER = ("popular", "dssm", "covis")
 DEFAULT_GRID = {"popular": (0.1, 0.2), "covis": (1.0, 1.5, 2.0), "dssm": (0.5, 0.8, 1.0, 1.5)}
 
 
-def fallback_items(sources: dict[str, DataFrame], k: int) -> DataFrame:
-    """One row ``fallback``: the first list that isn't empty, by source order, then session and type; maybe empty."""
-    found = None
-    for i, name in enumerate(s for s in FALLBACK_ORDER if s in sources):
-        one = sources[name].groupBy("session", "type").agg(F.min("rank").alias("r")).orderBy("session", "type").limit(1)
-        lists = sources[name].join(F.broadcast(one.select("session", "type")), ["session", "type"])  # one row
-        lists = lists.agg(F.sort_array(F.collect_list(F.struct("rank", "aid"))).alias("x")).select(F.lit(i).alias("i"), F.slice(F.col("x.aid"), 1, k).alias("x")).where(F.size("x") > 0)
-        found = lists if found is None else found.unionByName(lists)
-    return found.agg(F.min_by("x", "i").alias("fallback")).select(F.coalesce("fallback", F.array().cast("array<bigint>")).alias("fallback"))
+def fallback_items(sources: dict[str, DataFrame], k: int) -> list[int]:
+    """The first list that isn't empty, by source order, then session and type; maybe empty. The rows of the smallest keys
+    are taken of one source after the other, at most ``k`` each, so that later sources mostly aren't run."""
+    for name in (s for s in FALLBACK_ORDER if s in sources):
+        rows = sources[name].select("session", "type", "rank", "aid").orderBy("session", "type", "rank", "aid").limit(k).collect()
+        if rows:
+            return [r["aid"] for r in rows if (r["session"], r["type"]) == (rows[0]["session"], rows[0]["type"])]
+    return []
 
 
 def stack(sources: dict[str, DataFrame]) -> DataFrame:
@@ -55,7 +54,7 @@ def fuse(targets: DataFrame, sources: dict[str, DataFrame], weights: dict[str, f
     counts items before that."""
     grid = weight_rows(targets, [weights or FUSION_WEIGHTS])
     items = fused_items(targets, sources, grid, k).drop("grid_idx")
-    fallback = fallback_items(sources, k).first()[0]  # at most k numbers
+    fallback = fallback_items(sources, k)
     out = targets.join(items, ["session", "type"], "left")
     have = F.coalesce("items", F.array().cast("array<bigint>"))
     last = F.array(*map(F.lit, fallback)).cast("array<bigint>")
@@ -71,7 +70,7 @@ def grid_search(targets: DataFrame, labels: DataFrame | None, sources: dict[str,
     combos = [dict(zip(grid, c)) for c in product(*grid.values())]
     weights = weight_rows(targets, combos)
     items = fused_items(targets, sources, weights, k)
-    fallback = fallback_items(sources, k).first()[0]
+    fallback = fallback_items(sources, k)
     slots = targets.select("session", "type", F.explode(F.array(*map(F.lit, range(len(combos))))).alias("grid_idx"))
     have = F.coalesce("items", F.array().cast("array<bigint>"))
     last = F.array(*map(F.lit, fallback)).cast("array<bigint>")
