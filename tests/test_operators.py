@@ -210,9 +210,110 @@ def test_lambdamart_learns(spark):
         model.score(df.drop("good"))
 
 
+def test_lambdamart_trees(spark, tmp_path):
+    rng = random.Random(7)
+    data = []
+    for s in range(80):
+        for a in range(8):
+            x, y = rng.random(), rng.random()
+            data.append((s, "clicks", a, x, y, rng.random(), int((x > 0.6) != (y > 0.6))))
+    df = spark.createDataFrame(data, "session long, type string, aid long, x double, y double, noise double, label int")
+    model = ranker.fit_lambdamart(df, ["x", "y", "noise"], valid=df, rounds=3, patience=2, rate=0.3, depth=4, leaves=6, min_rows=5, feature_share=1.0, row_share=0.8, folder=str(tmp_path))
+    assert all(sum(f < 0 for f in t.feature) <= 6 for t in model.trees) and ranker.ndcg(model.score(df)) > 0.8
+    gains = {r["feature"]: r["importance"] for r in model.importance(spark).collect()}
+    assert gains["x"] > gains["noise"] and gains["y"] > gains["noise"]
+    model.save(spark, str(tmp_path / "m"))
+    again = ranker.LambdaMart.load(spark, str(tmp_path / "m"))
+    assert rows(again.score(df)) == rows(model.score(df))
+    one = ranker.fit_lambdamart(df, ["x", "y", "noise"], rounds=1, depth=1, min_rows=5, feature_share=0.4, folder=str(tmp_path))
+    assert len(one.trees[0].feature) <= 3 and ranker.fit_lambdamart(df, ["noise"], rounds=1, min_rows=10**6, folder=str(tmp_path)).trees[0].feature == [-1]
+
+
+def test_best_split_is_the_best():
+    from tidemark.models.lambdamart import _best_split
+
+    rng = np.random.default_rng(1)
+    g, h, n = rng.normal(size=9), rng.random(9) + 0.1, rng.integers(1, 9, 9).astype(float)
+    gain, f, b, values = _best_split({3: np.array([g, h, n])}, 4)
+    plain = max((g[:i].sum() ** 2 / h[:i].sum() + g[i:].sum() ** 2 / h[i:].sum() - g.sum() ** 2 / h.sum(), i - 1) for i in range(1, 9) if n[:i].sum() >= 4 and n[i:].sum() >= 4)
+    assert f == 3 and b == plain[1] and abs(gain - plain[0]) < 1e-6 and abs(values[0] - g[: b + 1].sum() / h[: b + 1].sum()) < 1e-6
+
+
+def test_holdout_is_exact(spark):
+    e = events(spark, {s: [(1, "clicks")] * 3 for s in range(101)})
+    out = rows(sampling.holdout_sessions(e, 0.2))
+    assert len(out) == len(set(out)) == 20 and out == rows(sampling.holdout_sessions(e.repartition(9), 0.2))
+    import hashlib
+
+    assert out == sorted(sorted(((s,) for s in range(101)), key=lambda s: hashlib.md5(f"{s[0]}:2024".encode()).hexdigest())[:20])
+    assert sampling.holdout_sessions(events(spark, {5: [(1, "clicks")]}), 0.2).count() == 1
+    data = e.withColumns({"label": F.lit(1)})
+    fit, held = ranker.holdout(data, 0.5)
+    assert held.select("session").distinct().count() == 50 and fit.count() + held.count() == data.count()
+
+
+def test_vocabulary_over_buckets(spark):
+    rng = random.Random(9)
+    e = events(spark, {s: [(rng.randrange(300), "clicks") for _ in range(5)] for s in range(100)})
+    first, want = {}, {}
+    for r in sorted(e.collect(), key=lambda r: (r["session"], r["ts"], r["seq"])):
+        first.setdefault(r["aid"], len(first) + 1)
+    want = sorted(first.items())
+    assert rows(sampling.vocabulary(e)) == want == rows(sampling.vocabulary(e, 3))
+    assert sampling.vocabulary(e.limit(0)).count() == 0
+
+
+def test_counts_and_reports(spark):
+    labels = spark.createDataFrame([(1, "clicks", "2 3"), (2, "clicks", "5"), (2, "carts", "")], "session long, type string, labels string")
+    counts = evaluate.label_counts(labels)
+    assert rows(counts) == [("carts", 1, 0, 0.0), ("clicks", 2, 3, 1.5), ("orders", 0, 0, 0.0)]
+    text = evaluate.as_table(counts.orderBy("type"), 2).split("\n")
+    assert text[0].split() == ["type", "rows", "items", "mean_items"] and text[3].split() == ["clicks", "2", "3", "1.50"]
+    e = events(spark, {1: [(1, "clicks"), (2, "clicks"), (2, "carts")]})
+    items = spark.createDataFrame([(2, [1.0]), (2, [1.0]), (9, [1.0])], "aid long, vec array<double>")
+    assert rows(vector_search.vocabulary_counts(e, items)) == [(3, 2, 1)]
+    pool = spark.createDataFrame([(1, "clicks", 1), (1, "clicks", 2)], "session long, type string, aid long")
+    assert rows(candidates.matched_scores(pool, pool.where("aid = 2").union(pool.where("aid = 2")))) == [(2, 1)]
+
+
+def test_read_sessions(spark, tmp_path):
+    from tidemark.sources import io
+
+    (tmp_path / "s.jsonl").write_text("".join(json.dumps({"session": s, "events": [{"aid": s, "ts": 1, "type": "clicks"}]}) + "\n" for s in (5, 3, 9, 1)))
+    read = lambda n: [r[0] for r in rows(io.read_sessions(spark, str(tmp_path / "s.jsonl"), n), "session")]
+    assert read(None) == read(0) == [1, 3, 5, 9] and read(2) == [1, 3]
+    with pytest.raises(ValueError):
+        read(-1)
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from tidemark.sources import config
+
+    assert config.parse_floats("0.1, 2,") == (0.1, 2.0) and config.parse_weights("a=1, b=0.5") == {"a": 1.0, "b": 0.5} and config.parse_grid("a=1,2;b=3") == {"a": (1.0, 2.0), "b": (3.0,)}
+    out = tmp_path / "out"
+    (tmp_path / "s.jsonl").write_text("".join(json.dumps({"session": s, "events": [{"aid": (s * i) % 7, "ts": i, "type": "clicks"} for i in range(6)]}) + "\n" for s in range(30)))
+    workflows.main(["build-validation", "--out", str(out), "--input", str(tmp_path / "s.jsonl"), "--nrows", "10", "--history-ratio", "0.5"])
+    history = spark.read.parquet(f"{out}/events.parquet")
+    assert history.count() == 30 and history.select("session").distinct().count() == 10
+    (tmp_path / "c.json").write_text(json.dumps({"popular-recall": {"k": 2}, "type_weights": {"clicks": 1.0, "carts": 0.0, "orders": 0.0}}))
+    workflows.main(["popular-recall", "--out", str(out), "--config", str(tmp_path / "c.json")])
+    assert all(len(r["predictions"].split()) == 2 for r in spark.read.option("header", True).csv(f"{out}/popular_predictions.csv").collect())
+    workflows.main(["popular-recall", "--out", str(out), "--config", str(tmp_path / "c.json"), "--k", "3"])
+    assert all(len(r["predictions"].split()) == 3 for r in spark.read.option("header", True).csv(f"{out}/popular_predictions.csv").collect())
+    workflows.main(["evaluate", "--out", str(out), "--config", str(tmp_path / "c.json"), "--source", "popular"])
+    assert "contribution" in capsys.readouterr().out
+    workflows.main(["--list"])
+    assert "--history-ratio" in capsys.readouterr().out
+    for bad in (["popular-recall", "--leaves", "3"], ["evaluate", "--workflow", "all"]):
+        with pytest.raises(SystemExit):
+            workflows.main([*bad, "--out", str(out)])
+
+
 def test_order_by_targets(spark):
     t = spark.createDataFrame([(1, "clicks"), (2, "carts")], "session long, type string")
     assert rows(targets.order_by_targets(lists(spark, [(1, "clicks", "3 x 3 4")]), t, 5)) == [(1, "clicks", "3 4"), (2, "carts", "")]
+    twice = lists(spark, [(1, "clicks", "9"), (1, "clicks", "1 2")]).coalesce(1)
+    assert rows(targets.order_by_targets(twice, t, 5))[0] == (1, "clicks", "9")
 
 
 def test_workflow_from_files(spark, tmp_path):

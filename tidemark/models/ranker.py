@@ -1,35 +1,25 @@
-"""Rankers: a pointwise gradient-boosted classifier, and LambdaMART on regression trees."""
+"""Rankers: a pointwise gradient-boosted classifier and LambdaMART, and what they share."""
 
 from __future__ import annotations
 
-import uuid
-from dataclasses import dataclass, field
-
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.models.lambdamart import GROUP, LambdaMart, fit_lambdamart, lambdas, ndcg, require_features
 from tidemark.operators.features import feature_columns
 from tidemark.operators.ranking import lists_from_scores
-from tidemark.operators.sampling import split_by_session
-
-GROUP = ["session", "type"]
-
+from tidemark.operators.sampling import holdout_sessions
 
-def require_features(df: DataFrame, features: list[str]) -> DataFrame:
-    missing = sorted(set(features) - set(df.columns))
-    if missing:
-        raise ValueError(f"features are missing: {', '.join(missing)}")
-    return df.fillna(0, features)
+__all__ = ["GROUP", "LambdaMart", "fit_gbt", "fit_lambdamart", "group_sizes", "holdout", "importance", "lambdas", "ndcg", "predict_lists", "require_features", "score_gbt"]
 
 
 def holdout(data: DataFrame, valid_ratio: float = 0.2, seed: int = 2024) -> tuple[DataFrame, DataFrame]:
-    """Training and held-out rows, parted by session."""
-    out = split_by_session(data, valid_ratio, seed).where("holdout = 1").select("session")
+    """Training and held-out rows, parted by session: ``max(1, int(n * valid_ratio))`` of ``n`` sessions are held out."""
+    out = holdout_sessions(data, valid_ratio, seed)
     return data.join(out, "session", "left_anti"), data.join(out, "session", "left_semi")
 
 
@@ -63,98 +53,5 @@ def importance(model: PipelineModel) -> DataFrame:
     return SparkSession.active().createDataFrame(rows, "feature string, importance double")
 
 
-@dataclass
-class LambdaMart:
-    """LambdaMART: each round fits a tree to the lambdas of NDCG@k and sets its leaves by Newton steps."""
-
-    features: list[str]
-    rate: float = 0.05
-    trees: list[tuple[DecisionTreeRegressionModel, dict[float, float]]] = field(default_factory=list)
-
-    def score(self, data: DataFrame) -> DataFrame:
-        rows = VectorAssembler(inputCols=self.features, outputCol="features").transform(require_features(data, self.features))
-        total = F.lit(0.0)
-        for tree, leaves in self.trees:
-            rows = self._add(rows, tree, leaves)
-        return rows.withColumn("score", F.coalesce(F.col("sum_"), F.lit(0.0)) if self.trees else total).drop("features", "sum_")
-
-    def _value(self, leaves: dict[float, float]):
-        pairs = [x for k, v in leaves.items() for x in (F.lit(k), F.lit(self.rate * v))]
-        return F.coalesce(F.try_element_at(F.create_map(*pairs), F.col("leaf")), F.lit(0.0)) if pairs else F.lit(0.0)
-
-    def _add(self, rows: DataFrame, tree, leaves: dict[float, float]) -> DataFrame:
-        before = F.coalesce(F.col("sum_"), F.lit(0.0)) if "sum_" in rows.columns else F.lit(0.0)
-        out = tree.setPredictionCol("leaf").transform(rows)
-        return out.withColumn("sum_", before + self._value(leaves)).drop("leaf")
-
-
-def lambdas(scored: DataFrame, k: int = 20) -> DataFrame:
-    """``scored`` (``label``, ``score``) with ``gradient`` and ``weight`` of every row.
-
-    Positives and negatives of a group meet by an equi-join on the group; the swap's change of NDCG@k scales each pair.
-    Groups are candidate pools, bounded by the sources' list lengths."""
-    w = Window.partitionBy(*GROUP).orderBy(F.desc("score"), "aid")
-    r = scored.select(*GROUP, "aid", "label", "score").withColumn("rank", F.row_number().over(w))
-    r = r.withColumn("discount", F.when(F.col("rank") <= k, 1.0 / F.log2(F.col("rank") + 1.0)).otherwise(0.0))
-    ideal = Window.partitionBy(*GROUP)
-    r = r.withColumn("positives", F.sum("label").over(ideal))
-    best = F.aggregate(F.sequence(F.lit(1), F.least(F.col("positives").cast("int"), F.lit(k))), F.lit(0.0), lambda s, i: s + 1.0 / F.log2(i + 1.0))
-    r = r.where("positives > 0").withColumn("ideal", best)
-    a = r.where("label > 0").select(*GROUP, *(F.col(c).alias(f"a_{c}") for c in ("aid", "score", "discount")), "ideal")
-    b = r.where("label = 0").select(*GROUP, *(F.col(c).alias(f"b_{c}") for c in ("aid", "score", "discount")))
-    p = a.join(b, GROUP)
-    rho = 1.0 / (1.0 + F.exp(F.col("a_score") - F.col("b_score")))
-    delta = F.abs(F.col("a_discount") - F.col("b_discount")) / F.col("ideal")
-    p = p.select(*GROUP, "a_aid", "b_aid", (rho * delta).alias("g"), (rho * (1 - rho) * delta).alias("h"))
-    up = p.select(*GROUP, F.col("a_aid").alias("aid"), "g", "h")
-    down = p.select(*GROUP, F.col("b_aid").alias("aid"), (-F.col("g")).alias("g"), "h")
-    per = up.unionByName(down).groupBy(*GROUP, "aid").agg(F.sum("g").alias("gradient"), F.sum("h").alias("weight"))
-    return scored.join(per, [*GROUP, "aid"], "left").fillna(0.0, ["gradient", "weight"])
-
-
-def ndcg(scored: DataFrame, k: int = 20) -> float:
-    """Mean NDCG@k of the groups with a positive."""
-    w = Window.partitionBy(*GROUP).orderBy(F.desc("score"), "aid")
-    r = scored.withColumn("rank", F.row_number().over(w))
-    gain = F.when(F.col("rank") <= k, F.col("label") / F.log2(F.col("rank") + 1.0)).otherwise(0.0)
-    g = r.groupBy(*GROUP).agg(F.sum(gain).alias("g"), F.sum("label").cast("int").alias("n")).where("n > 0")
-    best = F.aggregate(F.sequence(F.lit(1), F.least("n", F.lit(k))), F.lit(0.0), lambda s, i: s + 1.0 / F.log2(i + 1.0))
-    return g.agg(F.coalesce(F.avg(F.col("g") / best), F.lit(0.0))).first()[0]
-
-
-def fit_lambdamart(data: DataFrame, features: list[str] | None = None, valid: DataFrame | None = None, rounds: int = 10, patience: int = 3, rate: float = 0.05, depth: int = 5, min_rows: int = 50, k: int = 20, seed: int = 2024, folder: str | None = None) -> LambdaMart:
-    """Boost for ``rounds`` rounds, or until ``patience`` rounds bring no better NDCG@k on ``valid``. The scores of each
-    round are written to ``folder`` (else the checkpoint folder), so the plan doesn't grow and lost executors don't
-    matter."""
-    spark = data.sparkSession
-    features = features or feature_columns(data)
-    model = LambdaMart(features, rate)
-    base = (folder or spark.conf.get("spark.checkpoint.dir", None) or "/tmp/tidemark-checkpoints").rstrip("/") + f"/lambdamart-{uuid.uuid4().hex}"
-    assembler = VectorAssembler(inputCols=features, outputCol="features")
-    rows = assembler.transform(require_features(data, features)).select(*GROUP, "aid", "label", "features").withColumn("score", F.lit(0.0))
-    best, best_size, stale = -1.0, 0, 0
-    for i in range(rounds):
-        rows = lambdas(rows, k)
-        rows.write.mode("overwrite").parquet(f"{base}/{i}")
-        rows = spark.read.parquet(f"{base}/{i}")
-        tree = DecisionTreeRegressor(labelCol="gradient", maxDepth=depth, minInstancesPerNode=min_rows, seed=seed + i).fit(rows)
-        leaf = tree.setPredictionCol("leaf").transform(rows)
-        sums = leaf.groupBy("leaf").agg(F.sum("gradient"), F.sum("weight")).collect()  # at most 2^depth leaves
-        leaves = {r[0]: r[1] / (r[2] + 1e-9) if r[2] > 0 else 0.0 for r in sums}
-        model.trees.append((tree, leaves))
-        rows = leaf.withColumn("score", F.col("score") + model._value(leaves)).select(*GROUP, "aid", "label", "features", "score")
-        if valid is not None:
-            now = ndcg(model.score(valid), k)
-            if now > best:
-                best, best_size, stale = now, len(model.trees), 0
-            else:
-                stale += 1
-                if stale >= patience:
-                    break
-    if valid is not None:
-        model.trees = model.trees[:best_size]
-    return model
-
-
 def predict_lists(scored: DataFrame, targets: DataFrame, k: int = 20) -> DataFrame:
     return lists_from_scores(scored, targets, "score", k)

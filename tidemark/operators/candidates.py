@@ -70,6 +70,12 @@ def with_raw_norms(pool: DataFrame, details: dict[str, DataFrame], sources: tupl
     return pool
 
 
+def matched_scores(pool: DataFrame, details: DataFrame) -> DataFrame:
+    """One row ``candidates, matched``: pool rows, and those of them that have a row in ``details``."""
+    known = details.select(*KEY).distinct().withColumn("hit", F.lit(1))
+    return pool.select(*KEY).join(known, KEY, "left").agg(F.count("*").alias("candidates"), F.count("hit").alias("matched"))
+
+
 def pool_summary(pool: DataFrame, labels: DataFrame) -> DataFrame:
     """One row: candidates, groups, distinct and repeated keys, mean candidates for each group, label groups."""
     per = pool.groupBy("session", "type").agg(F.count("*").alias("c"), F.count_distinct("aid").alias("d"))

@@ -57,6 +57,25 @@ def oracle(pool: DataFrame, labels: DataFrame, k: int = 20) -> DataFrame:
     return by_type(rows).join(cover, "type", "left").withColumn("covered", F.coalesce("covered", F.lit(0).cast("bigint")))
 
 
+def label_counts(labels: DataFrame) -> DataFrame:
+    """``type, rows, items, mean_items`` of all three types: label rows, and the items in them."""
+    known = labels.sparkSession.createDataFrame([(t,) for t in TYPES], "type string")
+    n = F.size(parse_items(F.col("labels")))
+    sums = labels.groupBy("type").agg(F.count("*").alias("rows"), F.sum(n).alias("items"))
+    zero = F.lit(0).cast("bigint")
+    j = known.join(sums, "type", "left").select("type", F.coalesce("rows", zero).alias("rows"), F.coalesce("items", zero).alias("items"))
+    return j.withColumn("mean_items", F.coalesce(F.try_divide(F.col("items").cast("double"), F.col("rows")), F.lit(0.0)))
+
+
+def as_table(report: DataFrame, digits: int = 6, rows: int = 100) -> str:
+    """The first rows of a small report as text in columns of fixed width: numbers to the right, others to the left."""
+    found = [[f"{v:.{digits}f}" if isinstance(v, float) else "" if v is None else f"{v:,}" if isinstance(v, int) and not isinstance(v, bool) else str(v) for v in r] for r in report.limit(rows).collect()]
+    right = [kind not in ("string", "boolean") for _, kind in report.dtypes]
+    width = [max(len(x) for x in column) for column in zip(report.columns, *found)]
+    lines = ["  ".join(x.rjust(w) if r else x.ljust(w) for x, w, r in zip(line, width, right)).rstrip() for line in [report.columns, *found]]
+    return "\n".join([lines[0], "-" * len(lines[0]), *lines[1:]])
+
+
 def submission(predictions: DataFrame, k: int = 20) -> DataFrame:
     """``session_type, labels``: cleaned lists of at most ``k`` items."""
     require_columns(predictions, ("session", "type", "predictions"), "predictions")

@@ -27,6 +27,8 @@ def target_rows(labels: DataFrame | None = None, events: DataFrame | None = None
 
 
 def order_by_targets(predictions: DataFrame, targets: DataFrame, k: int) -> DataFrame:
-    """One cleaned list for every target row; of repeated keys the smallest list, of missing ones an empty list."""
-    p = predictions.groupBy("session", "type").agg(F.min("predictions").alias("predictions"))
+    """One cleaned list for every target row; of repeated keys the first in the order of the rows, of missing ones an
+    empty list."""
+    p = predictions.withColumn("place", F.monotonically_increasing_id())
+    p = p.groupBy("session", "type").agg(F.min_by("predictions", "place").alias("predictions"))
     return targets.join(p, ["session", "type"], "left").select("session", "type", normalize_items(F.col("predictions"), k).alias("predictions"))

@@ -15,6 +15,8 @@ from tidemark.session import ship
 BROADCAST_NUMBERS = 16_000_000
 #: Scores that are held at once (8 bytes each, twice).
 SCORES = 4_000_000
+#: Queries that meet a block of items in one task.
+QUERIES = 20_000
 
 
 def session_vectors(events: DataFrame, targets: DataFrame, items: DataFrame, types: DataFrame, max_seq_len: int = 0) -> DataFrame:
@@ -40,6 +42,13 @@ def session_vectors(events: DataFrame, targets: DataFrame, items: DataFrame, typ
     return out.select("session", "type", V.l2_normalize(F.when(F.col("tvec").isNull(), F.col("h")).otherwise(V.add("h", F.col("tvec")))).alias("vec"))
 
 
+def vocabulary_counts(events: DataFrame, items: DataFrame) -> DataFrame:
+    """One row ``events, known, skipped``: events, and how many of them have a vector or don't."""
+    held = items.select("aid").distinct().withColumn("hit", F.lit(1))
+    e = events.select("aid").join(held, "aid", "left")
+    return e.agg(F.count("*").alias("events"), F.count("hit").alias("known"), (F.count("*") - F.count("hit")).alias("skipped"))
+
+
 def _rank(scored: DataFrame, k: int, digits: int) -> DataFrame:
     w = Window.partitionBy("session", "type").orderBy(F.desc("score"), "aid")
     rounded = scored.withColumn("score", F.round("score", digits))
@@ -50,15 +59,15 @@ def search(queries: DataFrame, items: DataFrame, k: int = 20, block: int = 200_0
     """``session, type, aid, rank, dssm_score``: the ``k`` items of largest inner product, ties to the smaller id.
 
     Item vectors are normalised once. A matrix of bounded size is broadcast and every batch of queries multiplied with
-    it; a larger one is cut into blocks by a hash of the item, all queries meet each block, and the blocks' best ``k``
-    are ranked together."""
+    it; a larger one is cut into blocks by a hash of the item, all queries meet each block in parts of about ``QUERIES``,
+    and the blocks' best ``k`` are ranked together. So a task holds a block and a part, whatever their numbers."""
     spark = queries.sparkSession
     ship(spark)
     unit = items.select("aid", V.l2_normalize(F.col("vec")).alias("vec"))
     count, width = unit.agg(F.count("*"), F.max(F.size("vec"))).first()
     if not count:
         return queries.sparkSession.createDataFrame([], "session bigint, type string, aid bigint, rank int, dssm_score double")
-    blocks = 1 if count * width <= BROADCAST_NUMBERS else -(-count // block)
+    blocks = 1 if count * width <= BROADCAST_NUMBERS else -(-count // max(1, min(block, BROADCAST_NUMBERS // width)))
 
     def best(q: np.ndarray, aids: np.ndarray, m: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         out = []
@@ -91,9 +100,10 @@ def search(queries: DataFrame, items: DataFrame, k: int = 20, block: int = 200_0
 
         scored = queries.mapInPandas(run, schema)
     else:
-        q = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("part", F.pmod(F.xxhash64("session", "type"), F.lit(64)))
+        parts = max(1, -(-queries.count() // QUERIES))
+        q = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("part", F.pmod(F.xxhash64("session", "type"), F.lit(parts)).cast("int"))
         i = unit.withColumn("block", F.pmod(F.xxhash64("aid"), F.lit(blocks)).cast("int"))
-        i = i.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(63))))
+        i = i.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
 
         def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             if not len(left) or not len(right):
@@ -104,13 +114,15 @@ def search(queries: DataFrame, items: DataFrame, k: int = 20, block: int = 200_0
     return _rank(scored, k, digits)
 
 
-def neighbors(items: DataFrame, k: int = 20, digits: int = 6) -> DataFrame:
-    """``aid, neighbor, rank, cosine``: every item's ``k`` nearest others by cosine, ties to the smaller id.
+def neighbors(items: DataFrame, k: int = 20, digits: int = 6, queries: DataFrame | None = None) -> DataFrame:
+    """``aid, neighbor, rank, cosine``: the ``k`` nearest others by cosine of every item, or of those in ``queries``
+    (``aid, vec``), ties to the smaller id.
 
-    All items meet all items by :func:`search`. Ids are unique; items without a vector have no row and are nobody's
+    They meet all items by :func:`search`. Ids are unique; items without a vector have no row and are nobody's
     neighbour."""
     known = items.where("aid IS NOT NULL AND vec IS NOT NULL")
-    q = known.select(F.col("aid").alias("session"), F.lit("item").alias("type"), V.l2_normalize(F.col("vec")).alias("vec"))
+    asked = known if queries is None else queries.where("aid IS NOT NULL AND vec IS NOT NULL")
+    q = asked.select(F.col("aid").alias("session"), F.lit("item").alias("type"), V.l2_normalize(F.col("vec")).alias("vec"))
     found = search(q, known, k + 1, digits=digits).where("aid <> session")  # an item may be pushed out by its own copies
     w = Window.partitionBy("session").orderBy("rank")
     ranked = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -139,7 +139,15 @@ def oracle_sql() -> dict[str, str]:
         "covis_details": sql("SELECT session, type, aid, rk AS rank, score AS covis_score FROM covsrc", 20),
         "session_vectors": sql("SELECT session, type, CAST(d AS BIGINT) AS d, round(x, 6) AS x FROM sv"),
         "vector_topk": sql("SELECT session, type, aid, rk AS rank, score AS dssm_score FROM vecsrc", 20),
-        "item_similarity": sql("SELECT p.aid AS a, q.aid AS b, round(sum(p.x * q.x) / (sqrt(sum(p.x * p.x)) * sqrt(sum(q.x * q.x))), 6) AS cosine FROM raw p JOIN raw q ON p.d = q.d WHERE p.aid < 40 AND q.aid = 7 GROUP BY p.aid, q.aid"),
+        "item_similarity": """WITH raw AS (SELECT vec_id AS aid, generate_subscripts(embedding, 1) AS d, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
+            u AS (SELECT aid, d, x / greatest(sqrt(sum(x * x) OVER (PARTITION BY aid)), 1e-12) AS x FROM raw),
+            s AS (SELECT p.aid, q.aid AS neighbor, round(sum(p.x * q.x), 6) AS cosine FROM u p JOIN u q ON p.d = q.d WHERE p.aid % 20 = 0 AND p.aid <> q.aid GROUP BY p.aid, q.aid),
+            r AS (SELECT *, row_number() OVER (PARTITION BY aid ORDER BY cosine DESC, neighbor) AS rank FROM s)
+            SELECT aid, neighbor, rank, cosine FROM r WHERE rank <= 20""",
+        "label_counts": sql(f"SELECT k.type, count(c) AS rows, CAST(coalesce(sum(c), 0) AS BIGINT) AS items, round(coalesce(avg(c), 0), 6) AS mean_items FROM {_KINDS} k LEFT JOIN labels_ ON labels_.type = k.type GROUP BY k.type"),
+        "vocabulary_counts": "SELECT count(*) AS events, count(v.vec_id) AS known, count(*) - count(v.vec_id) AS skipped FROM lineitem JOIN orders ON o_orderkey = l_orderkey LEFT JOIN (SELECT DISTINCT vec_id FROM embeddings) v ON v.vec_id = l_partkey",
+        "matched_scores": sql("SELECT count(*) AS candidates, count(c.aid) AS matched FROM pool LEFT JOIN (SELECT session, type, aid FROM covsrc WHERE rk <= 20) c ON c.session = pool.session AND c.type = pool.type AND c.aid = pool.aid"),
+        "session_holdout": sql("SELECT session FROM (SELECT session, row_number() OVER (ORDER BY md5(session || ':2024'), session) AS r, count(*) OVER () AS n FROM (SELECT DISTINCT session FROM ev)) WHERE r <= greatest(1, CAST(floor(n * CAST(0.2 AS DOUBLE)) AS BIGINT))"),
         "fusion_rrf": _with("SELECT tgt.session, tgt.type, p AS predictions, coalesce(n, 0) AS n_before FROM tgt JOIN (SELECT session, type, string_agg(CAST(aid AS VARCHAR), ' ' ORDER BY rk) AS p FROM fl GROUP BY session, type) x ON x.session = tgt.session AND x.type = tgt.type LEFT JOIN (SELECT session, type, count(*) AS n FROM ft GROUP BY session, type) y ON y.session = tgt.session AND y.type = tgt.type", _FUSED.format(weights=_W1)),
         "fusion_grid": _with("""SELECT combos.pw AS popular_weight, cw AS covis_weight, dw AS dssm_weight, round(rp.c, 6) AS clicks_recall, round(a, 6) AS carts_recall, round(o, 6) AS orders_recall, round(rp.c * CAST(0.1 AS DOUBLE) + a * CAST(0.3 AS DOUBLE) + o * CAST(0.6 AS DOUBLE), 6) AS weighted_score,
             (SELECT count(*) FROM bef WHERE bef.g = combos.g AND n < 20) AS underfilled_before_fallback, (SELECT count(*) FROM aft WHERE aft.g = combos.g AND n < 20) AS underfilled_after_fallback FROM combos JOIN rp ON rp.g = combos.g""", grid),

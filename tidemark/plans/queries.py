@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -9,10 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.items import item_tokens, join_items, normalize_items, parse_items
-from tidemark.functions.vectors import dot, l2_normalize
 from tidemark.models import ranker, two_tower
 from tidemark.operators import candidates, covis, evaluate, features, fusion, popular, ranking, sampling, split, targets, vector_search
 from tidemark.schema import TYPES, type_id
+from tidemark.session import shared_dir
 from tidemark.sources import adapters, io
 
 K, POOL_K, LIMIT, NEIGHBORS, RATIO = 20, 50, 30, 50, 0.8
@@ -20,12 +21,14 @@ K, POOL_K, LIMIT, NEIGHBORS, RATIO = 20, 50, 30, 50, 0.8
 
 @dataclass
 class Workload:
-    """Adapter A's events, split, and what follows from them."""
+    """Adapter A's events, split, and what follows from them. Details are made once for each ``k``, so that a plan that
+    has them twice reuses their exchanges, and a search gathers its items once."""
 
     spark: SparkSession
     sf_dir: str
 
     def __post_init__(self):
+        self._made: dict[tuple[str, int], DataFrame] = {}
         self.events = adapters.dense_events(self.spark, self.sf_dir)
         self.split = split.split_sessions(self.events, RATIO)
         self.history = split.history(self.split)
@@ -45,11 +48,14 @@ class Workload:
     def session_vectors(self) -> DataFrame:
         return vector_search.session_vectors(self.history, self.targets, self.items(), self.types())
 
+    def _once(self, name: str, k: int, make: Callable[[], DataFrame]) -> DataFrame:
+        return self._made.get((name, k)) or self._made.setdefault((name, k), make())
+
     def dssm_details(self, k: int) -> DataFrame:
-        return vector_search.search(self.session_vectors(), self.items(), k)
+        return self._once("dssm", k, lambda: vector_search.search(self.session_vectors(), self.items(), k))
 
     def covis_details(self, k: int) -> DataFrame:
-        return covis.covis_details(self.history, self.edges(), self.targets, k)
+        return self._once("covis", k, lambda: covis.covis_details(self.history, self.edges(), self.targets, k))
 
     def sources(self, k: int) -> dict[str, DataFrame]:
         pop = candidates.ranked_items(popular.popular_recall(self.history, self.targets, k))
@@ -58,6 +64,12 @@ class Workload:
     def pool(self) -> DataFrame:
         return candidates.candidate_pool(self.sources(POOL_K), POOL_K)
 
+    def ranker_data(self) -> DataFrame:
+        """The training table, written once to the shared folder: models read it many times."""
+        path = f"{shared_dir(self.spark)}/ranker-data-{uuid.uuid4().hex}"
+        io.write_table(features.train_data(self.pool(), self.history, self.labels, unique=True), path)
+        return self.spark.read.parquet(path)
+
     def popular(self, k: int = K) -> DataFrame:
         return popular.popular_recall(self.history, self.targets, k)
 
@@ -92,6 +104,26 @@ def split_labels(w: Workload) -> DataFrame:
     return w.labels
 
 
+@query
+def label_counts(w: Workload) -> DataFrame:
+    return evaluate.label_counts(w.labels).select("type", "rows", "items", _r("mean_items"))
+
+
+@query
+def vocabulary_counts(w: Workload) -> DataFrame:
+    return vector_search.vocabulary_counts(adapters.sparse_events(w.spark, w.sf_dir), adapters.item_vectors(w.spark, w.sf_dir))
+
+
+@query
+def matched_scores(w: Workload) -> DataFrame:
+    return candidates.matched_scores(w.pool(), w.covis_details(K))
+
+
+@query
+def session_holdout(w: Workload) -> DataFrame:
+    return sampling.holdout_sessions(w.events)
+
+
 @query
 def split_summary(w: Workload) -> DataFrame:
     skipped = split.skipped_sessions(w.events)
@@ -158,14 +190,15 @@ def vector_topk(w: Workload) -> DataFrame:
 
 @query
 def item_similarity(w: Workload) -> DataFrame:
-    i = adapters.item_vectors(w.spark, w.sf_dir).select("aid", l2_normalize(F.col("vec")).alias("v"))
-    a, b = i.where("aid < 40").select(F.col("aid").alias("a"), F.col("v").alias("x")), i.where("aid = 7").select(F.col("aid").alias("b"), F.col("v").alias("y"))
-    return a.join(F.broadcast(b)).select("a", "b", F.round(dot(F.col("x"), F.col("y")), 6).alias("cosine"))
+    """The 20 nearest others, among all items, of every item whose id is divisible by 20: a stated set of queries."""
+    items = adapters.item_vectors(w.spark, w.sf_dir)
+    n = vector_search.neighbors(items, K, queries=items.where("aid % 20 = 0"))
+    return n.select("aid", "neighbor", F.col("rank").cast("bigint").alias("rank"), "cosine")
 
 
 @query
 def item_neighbors(w: Workload) -> DataFrame:
-    """Every item's nearest others, over the whole table; ``item_similarity`` is a probe of a few pairs only."""
+    """Every item's nearest others, over the whole table."""
     n = vector_search.neighbors(adapters.item_vectors(w.spark, w.sf_dir), K)
     return n.select("aid", "neighbor", F.col("rank").cast("bigint").alias("rank"), "cosine")
 
@@ -225,12 +258,12 @@ def history_features(w: Workload) -> DataFrame:
 
 @query
 def ranker_features(w: Workload) -> DataFrame:
-    return _pool_columns(features.narrow(features.train_data(w.pool(), w.history, w.labels)))
+    return _pool_columns(features.narrow(features.train_data(w.pool(), w.history, w.labels, unique=True)))
 
 
 @query
 def inference_features(w: Workload) -> DataFrame:
-    return _pool_columns(features.inference_data(w.pool(), w.history).select("session", "type", "aid", "item_popularity", "session_len", "in_session_history", "aid_last_pos_from_end"))
+    return _pool_columns(features.inference_data(w.pool(), w.history, unique=True).select("session", "type", "aid", "item_popularity", "session_len", "in_session_history", "aid_last_pos_from_end"))
 
 
 @query
@@ -312,7 +345,7 @@ def recency_weights(w: Workload) -> DataFrame:
 @query
 def ranker_predict(w: Workload) -> DataFrame:
     """Pointwise ranker, trained on four fifths of the sessions, applied to all; lists for every target row."""
-    data = features.train_data(w.pool(), w.history, w.labels).cache()
+    data = w.ranker_data()
     train, _ = ranker.holdout(data)
     model = ranker.fit_gbt(train, rounds=5, depth=4)
     return ranker.predict_lists(ranker.score_gbt(model, data), w.targets, K)
@@ -321,7 +354,7 @@ def ranker_predict(w: Workload) -> DataFrame:
 @query
 def lambdamart_predict(w: Workload) -> DataFrame:
     """LambdaMART on the same data."""
-    data = features.train_data(w.pool(), w.history, w.labels).cache()
+    data = w.ranker_data()
     train, valid = ranker.holdout(data)
     model = ranker.fit_lambdamart(train, valid=valid, rounds=4, depth=4)
     return ranker.predict_lists(model.score(data), w.targets, K)

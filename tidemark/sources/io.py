@@ -12,11 +12,11 @@ from tidemark.schema import LABELS, PREDICTIONS, RAW_SESSION, require_columns
 
 def read_sessions(spark: SparkSession, path: str, nrows: int | None = None) -> DataFrame:
     """Events of a JSON-lines file of sessions: ``session, aid, ts, seq, type``; ``nrows`` takes the sessions with the
-    smallest ids. Null is all; 0 and less are refused."""
-    if nrows is not None and nrows <= 0:
-        raise ValueError("nrows must be positive, or None for all")
+    smallest ids, each task keeping no more than so many. Null and 0 are all; less is refused."""
+    if nrows is not None and nrows < 0:
+        raise ValueError("nrows must not be negative")
     raw = spark.read.schema(RAW_SESSION).json(path)
-    if nrows is not None:
+    if nrows:
         raw = raw.orderBy("session").limit(nrows)
     return explode_sessions(raw)
 
