@@ -31,7 +31,7 @@ class Encoder:
     then forgotten. Texts with runs of white space are cut more carefully; tokenizers built otherwise, and texts that
     hold an added token's string, are encoded whole."""
 
-    def __init__(self, path: str, cache: int = 1_200_000):
+    def __init__(self, path: str, cache: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer, self.cache = Tokenizer.from_file(path), cache
         spec = json.loads(self.tokenizer.to_str())
