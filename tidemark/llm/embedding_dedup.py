@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import connected_components, materialize, release
+from tidemark.llm.common import connected_components, forest, materialize, release
 from tidemark.session import ship
 
 #: At most this many pivots are taken, out of so many vectors of the smallest hashes: those are on the driver.
@@ -58,22 +58,6 @@ def near(home: np.ndarray, other: np.ndarray, home_raw: np.ndarray, other_raw: n
     return i[keep], j[keep]
 
 
-def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(node, smallest node of its component) from links a, b of ids."""
-    nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
-    i, j = at[: len(a)], at[len(a) :]
-    label = np.arange(len(nodes))
-    while True:
-        low = np.minimum(label[i], label[j])
-        after = label.copy()
-        np.minimum.at(after, i, low)
-        np.minimum.at(after, j, low)
-        after = after[after]
-        if (after == label).all():
-            return nodes, nodes[label]
-        label = after
-
-
 def farthest_first(sample: np.ndarray, wanted: int) -> np.ndarray:
     """Rows of ``sample``: the first, and then always the one farthest from all chosen, while there are unlike ones."""
     chosen, apart = [0], np.full(len(sample), np.inf)

@@ -9,15 +9,17 @@ frequent than the table's own noise stand last at any size. Two sets of similari
 
 The join verifies no pair twice and wants no list of a hot shingle in one task:
 
-0. A set stays in the list of a prefix shingle only if some other set of the list passes with it the length filter, the
-   positional filter, and a bound from bit maps: sets of a and b shingles, whose parities in 256 bins differ in h bins,
-   share at most (a + b - h) / 2. Lists longer than a chunk stay whole.
+0. A set stays in the list of a prefix shingle only if some other set of the list passes with it the length filter and
+   the positional filter, and then a bound from bit maps: sets of a and b shingles, whose parities in 256 bins differ in h
+   bins, share at most (a + b - h) / 2. Lists longer than a chunk stay whole, and those of shingles whose counter is
+   high aren't gathered for this at all.
 1. Every set goes to the list of the first prefix shingle that it shares with another set. Lists are cut into chunks by
    a hash, bounded by sets and by shingles. Inside a chunk, pairs that pass the length, positional and bit map filters
    and aren't linked through others yet are verified. What comes out is a spanning forest, at most one link a set.
-2. Components are found. Lists whose sets all lie in one component need nothing more. Of the others, one set stands for
-   each component, and step 1 is repeated among these, which links chunks of one cluster. Sets remember the chunks
-   they have been in, and pairs that met before aren't taken again.
+2. As every set was in one chunk, the chunks' forests are the components so far. Lists whose sets all lie in one
+   component need nothing more. Of the others, one set stands for each component, and step 1 is repeated among these,
+   which links chunks of one cluster; only the new links, between components, are searched for larger ones. Sets
+   remember the chunks they have been in, and pairs that met before aren't taken again.
 3. The pairs still unlinked that share a prefix shingle, never met in a chunk, and pass the filters become candidates,
    each once, and are verified on their whole sets after the suffix filter.
 
@@ -40,7 +42,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import connected_components, materialize, mix64, release, settle, shingle_sets, slices
+from tidemark.llm.common import connected_components, forest, materialize, mix64, release, settle, shingle_sets, slices
 from tidemark.session import ship
 
 _U = np.uint64
@@ -130,15 +132,17 @@ def local_links(keys: list[np.ndarray], groups: np.ndarray, num: int, den: int,
 class NgramJaccard:
     """The join for ``n`` words and similarity ``num / den``; see the module's text."""
 
-    def __init__(self, n: int = 3, num: int = 90, den: int = 100, max_bits: int = 24, chunk: int = 512, rounds: int = 3, broadcast_ids: int = 200_000):
+    def __init__(self, n: int = 3, num: int = 90, den: int = 100, max_bits: int = 24, chunk: int = 512, rounds: int = 3, broadcast_ids: int = 200_000, hot_list: int = 1 << 17):
         self.n, self.num, self.den, self.max_bits, self.chunk, self.rounds = n, num, den, max_bits, chunk, rounds
         self.broadcast_ids = broadcast_ids  # 16 bytes each; more are joined by shuffling the texts
+        self.hot_list = hot_list  # lists that may be longer stay in many tasks
 
     # --- kernels
 
-    def _count(self, texts: DataFrame) -> np.ndarray:
-        """The rank, 0 to 63, of each counter, by the number of documents under it. There are about 32 counters a
-        document, but at most 2^max_bits: 4 bytes each in a task, and as many bytes on the driver, whatever the corpus.
+    def _count(self, texts: DataFrame) -> tuple[np.ndarray, int]:
+        """The rank, 0 to 63, of each counter, by the number of documents under it, and the rank from which lists
+        may be longer than ``hot_list``. There are about 32 counters a document, but at most 2^max_bits: 4 bytes each in a
+        task, and as many bytes on the driver, whatever the corpus.
 
         Up to the mean load ranks are linear, as a counter bounds its shingles' frequencies; above it they grow with
         the logarithm of the height in standard deviations of the load, so that frequent shingles stand out from it."""
@@ -191,20 +195,20 @@ class NgramJaccard:
         sums, path = materialize(sums, "counts")
         base = (sums.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]) // (1 << bits)
 
+        def ranked(c: np.ndarray) -> np.ndarray:
+            above = 16 + 3 * np.log2(1 + np.maximum(c - base, 0) / max(1.0, base**0.5))
+            return np.where(c <= base, 16 * c // (base + 1), np.minimum(above, 63)).astype(np.uint8)
+
         def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                out = []
-                for data in batch.column(1):
-                    c = np.frombuffer(data.as_py(), "<u4").astype(np.int64)
-                    above = 16 + 3 * np.log2(1 + np.maximum(c - base, 0) / max(1.0, base**0.5))
-                    out.append(np.where(c <= base, 16 * c // (base + 1), np.minimum(above, 63)).astype(np.uint8).tobytes())
+                out = [ranked(np.frombuffer(data.as_py(), "<u4").astype(np.int64)).tobytes() for data in batch.column(1)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["block", "ranks"])
 
         ranks = np.zeros(1 << bits, np.uint8)
         for block, data in sums.select("block", "counts").mapInArrow(rank, "block int, ranks binary").collect():
             ranks[block * _BLOCK : (block + 1) * _BLOCK] = np.frombuffer(data, np.uint8)
         release(texts.sparkSession, path)
-        return ranks
+        return ranks, int(ranked(np.array([base + self.hot_list]))[0])
 
     def _ordered(self, texts: list, ranks: np.ndarray) -> list[np.ndarray]:
         """Sorted sets in the global order: six bits of rank above 58 bits of hash."""
@@ -238,17 +242,19 @@ class NgramJaccard:
 
         return texts.mapInArrow(run, "id bigint, n bigint, s1 bigint, s2 bigint, prefix array<bigint>, bits binary")
 
-    def _prune(self, lists: DataFrame) -> DataFrame:
-        """Step 0 on rows ``key, id, s1, n, pos, bits`` of lists of at most a chunk: rows with a partner that may do."""
-        num, den = self.num, self.den
+    def _prune(self, lists: DataFrame, use_bits: bool) -> DataFrame:
+        """Step 0 on rows ``key, id, s1, n, pos`` and, with ``use_bits``, ``bits``: the rows with a partner that may do by
+        length and position, or by bit maps, too. Lists longer than a chunk stay whole, and pass through as they come."""
+        num, den, chunk = self.num, self.den, self.chunk
         names = ["key", "id", "s1", "n", "pos"]
 
         def partners(t: pa.Table) -> np.ndarray:
             key, n, pos = t["key"].to_numpy(), t["n"].to_numpy().astype(np.int64), t["pos"].to_numpy().astype(np.int64)
-            bits = np.frombuffer(b"".join(t["bits"].to_pylist()), np.uint64).reshape(-1, 4)
-            good = np.zeros(len(key), bool)
-            i = np.arange(len(key) - 1)
-            for step in range(1, self.chunk):
+            bits = np.frombuffer(b"".join(t["bits"].to_pylist()), np.uint64).reshape(-1, 4) if use_bits else None
+            first = np.searchsorted(key, key)
+            good = np.searchsorted(key, key, side="right") - first > chunk
+            i = np.flatnonzero(~good[:-1])
+            for step in range(1, chunk):
                 i = i[i + step < len(key)]
                 j = i + step
                 near = (key[i] == key[j]) & (n[j] * num <= n[i] * den)  # lists are sorted by size
@@ -258,27 +264,41 @@ class NgramJaccard:
                 need = overlap_needed(n[i], n[j], num, den)
                 fit = np.minimum(n[i] - pos[i], n[j] - pos[j]) >= need
                 a, b, need = i[fit], j[fit], need[fit]
-                differ = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64)
-                fit = (n[a] + n[b] - differ) // 2 >= need
-                good[a[fit]] = good[b[fit]] = True
+                if use_bits:
+                    differ = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64)
+                    fit = (n[a] + n[b] - differ) // 2 >= need
+                    a, b = a[fit], b[fit]
+                good[a] = good[b] = True
             return good
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            rest = None
+            rest, passing = None, None
             for batch in batches:
                 t = pa.Table.from_batches([batch])
+                if passing is not None:  # more of a long list
+                    end = int(np.searchsorted(t["key"].to_numpy(), passing, side="right"))
+                    yield from t.slice(0, end).select(names).to_batches()
+                    t = t.slice(end)
                 if rest is not None:
                     t = pa.concat_tables([rest, t])
+                rest = None
+                if not len(t):
+                    continue
+                passing = None
                 key = t["key"].to_numpy()
-                last = int(np.searchsorted(key, key[-1])) if len(key) else 0  # the last list may go on
+                last = int(np.searchsorted(key, key[-1]))  # the last list may go on
                 done, rest = t.slice(0, last), t.slice(last)
+                if len(rest) > chunk:
+                    yield from rest.select(names).to_batches()
+                    rest, passing = None, key[-1]
                 if len(done):
                     yield from done.filter(pa.array(partners(done))).select(names).combine_chunks().to_batches()
             if rest is not None and len(rest):
                 yield from rest.filter(pa.array(partners(rest))).select(names).combine_chunks().to_batches()
+            settle()
 
         dealt = lists.repartition("key").sortWithinPartitions("key", "n")
-        return dealt.select(*names, "bits").mapInArrow(run, "key bigint, id bigint, s1 bigint, n int, pos int")
+        return dealt.select(*names, *(["bits"] if use_bits else [])).mapInArrow(run, "key bigint, id bigint, s1 bigint, n int, pos int")
 
     def _sets(self, texts: DataFrame, ranks) -> DataFrame:
         """``id, s1, keys, b0, b1, b2, b3`` of every text: its sorted shingles and their bit map."""
@@ -302,7 +322,8 @@ class NgramJaccard:
         return dealt.select("id", "s1", "comp", "pos", "n", "key", F.pmod(F.xxhash64("id", "s1"), F.col("chunks")).cast("int").alias("salt"))
 
     def _link_chunks(self, homes: DataFrame, sets: DataFrame, met: list[str]) -> DataFrame:
-        """Step 1 on chunks of ``id, s1, comp, pos, key, salt`` and columns ``met``, earlier chunks: links ``a, b``."""
+        """Step 1 on chunks of ``id, s1, comp, pos, key, salt`` and columns ``met``, earlier chunks: ``node, component`` of
+        the components that a chunk links, with the smallest of them."""
         num, den = self.num, self.den
         count, shingles = homes.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
         rows = homes.drop("n").join(sets, ["id", "s1"])
@@ -314,16 +335,30 @@ class NgramJaccard:
             a, b = [], []
             for _, part in pdf.groupby(["key", "salt"], sort=True):
                 part = part.drop_duplicates(["id", "s1"]).sort_values(["id", "s1"])
-                ids = part["id"].to_numpy(np.int64)
+                comp = part["comp"].to_numpy(np.int64)
                 found = local_links(
-                    [np.frombuffer(k, _U) for k in part["keys"]], part["comp"].to_numpy(), num, den, part["pos"].to_numpy(np.int64),
+                    [np.frombuffer(k, _U) for k in part["keys"]], comp, num, den, part["pos"].to_numpy(np.int64),
                     part[_MAPS].to_numpy(np.int64).view(_U), part[met].to_numpy(np.int64) if met else None,
                 )
-                a += [ids[i] for i, _ in found]
-                b += [ids[j] for _, j in found]
-            return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+                if found:
+                    nodes, roots = forest(*comp[np.array(found, np.int64).T])
+                    a.append(nodes)
+                    b.append(roots)
+            return pd.DataFrame({"node": np.concatenate([np.empty(0, np.int64), *a]), "component": np.concatenate([np.empty(0, np.int64), *b])})
 
-        return rows.groupBy("bucket").applyInPandas(link, "a bigint, b bigint")
+        return rows.groupBy("bucket").applyInPandas(link, "node bigint, component bigint")
+
+    @staticmethod
+    def _merged(members: DataFrame | None, links: DataFrame) -> tuple[DataFrame, list[str]]:
+        """``members``, ``node, component``, after ``links`` between components ``node, component``; and its tables."""
+        moved, path = connected_components(links.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        if members is None:
+            return moved, [path]
+        both = members.unionByName(moved.select("node", F.col("node").alias("component"))).distinct()
+        after = both.join(moved.select(F.col("node").alias("component"), F.col("component").alias("now")), "component", "left")
+        after, own = materialize(after.select("node", F.coalesce("now", "component").alias("component")), "members")
+        release(links.sparkSession, path)
+        return after, [own]
 
     # --- the join
 
@@ -332,27 +367,29 @@ class NgramJaccard:
         spark = docs.sparkSession
         ship(spark)
         texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-        ranks = spark.sparkContext.broadcast(self._count(texts))
+        ranks, hot_rank = self._count(texts)
+        ranks = spark.sparkContext.broadcast(ranks)
         described, p1 = materialize(self._describe(texts, ranks), "shingles")
         real = described.where("n > 0 AND id IS NOT NULL")
         classes = real.groupBy("s1", "s2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
         classes, p0 = materialize(classes.select(F.col("rep").alias("id"), "s1", "s2", F.col("n").cast("int").alias("n"), "copies", "prefix", "bits"), "classes")
         named, _ = materialize(classes.select(F.col("id").alias("rep"), "s1", "s2", "n", "copies"), "named")
-        lists = classes.select("id", "s1", "n", F.posexplode("prefix").alias("pos", "key"))
-        shared = lists.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-        lists, p2 = materialize(lists.join(shared.hint("shuffle_hash"), "key").select("key", "id", "s1", "n", "pos", "c"), "lists")
-        short = lists.where(F.col("c") <= self.chunk).join(classes.select("id", "s1", "bits"), ["id", "s1"])
-        long = lists.where(F.col("c") > self.chunk).select("key", "id", "s1", "n", "pos")
-        lists, p4 = materialize(self._prune(short).unionByName(long), "lists")
+        lists = classes.select("id", "s1", "n", F.posexplode("prefix").alias("pos", "key")).select("key", "id", "s1", "n", "pos")
+        hot = F.shiftrightunsigned("key", 58) >= hot_rank
+        lists, p2 = materialize(self._prune(lists.where(~hot), False).unionByName(lists.where(hot)), "lists")
+        bits = lists.where(~hot).join(classes.select("id", "s1", "bits"), ["id", "s1"])
+        lists, p4 = materialize(self._prune(bits, True).unionByName(lists.where(hot)), "lists")
         release(spark, p0, p2)
         # rows of one id are one document: links from it to the class of each of its texts
         several = real.groupBy("id").agg(F.count("*").alias("rows"), F.min(F.struct("s1", "s2", "n")).alias("x"), F.max(F.struct("s1", "s2", "n")).alias("y")).where("rows > 1")
         several, p6 = materialize(several.select("id", (F.col("x") < F.col("y")).alias("unlike")), "several")
-        repeated, links, parts = not several.isEmpty(), None, []
+        repeated, members, tables, parts = not several.isEmpty(), None, [], []
         if repeated:
             texts_of = real.select("id", "s1", "s2", "n").distinct().join(several.where("unlike").select("id"), "id", "left_semi")
-            links, p = materialize(texts_of.join(named, ["s1", "s2", "n"]).select(F.col("id").alias("a"), F.col("rep").alias("b")), "links")
+            links, p = materialize(texts_of.join(named, ["s1", "s2", "n"]).select(F.col("id").alias("node"), F.col("rep").alias("component")), "links")
             parts.append(p)
+            if not links.isEmpty():
+                members, tables = self._merged(None, links)
         wanted, p5 = materialize(lists.select("id", "s1").distinct(), "wanted")
         few = wanted.count() <= self.broadcast_ids
         ids = wanted.select("id").distinct()
@@ -362,9 +399,6 @@ class NgramJaccard:
         sets, p3 = materialize(sets, "sets")
         ranks.destroy()
 
-        members = path = None
-        if links is not None:
-            members, path = connected_components(links)
         met: list[str] = []
         now = self._open(lists, members)
         placed = []
@@ -380,20 +414,21 @@ class NgramJaccard:
             placed.append(homes.select("id", "s1", F.xxhash64("key", "salt").alias(met[-1])))
             if fresh.isEmpty():
                 break
-            links = fresh if links is None else links.unionByName(fresh)
-            if path:
-                release(spark, path)
-            members, path = connected_components(links)
+            if members is None and not repeated:
+                members = fresh  # each set was in one chunk
+            else:
+                parts += tables
+                members, tables = self._merged(members, fresh)
             # one set stands for each component in a list
             now = self._open(lists, members).groupBy("key", "comp").agg(F.min_by(F.struct("id", "s1", "n", "pos"), F.struct("id", "s1")).alias("r")).select("key", "comp", "r.*")
         pairs = self._candidates(self._open(lists, members), sets, dict(zip(met, placed)))
         verified, p = materialize(self._verify(pairs, sets), "links")
         parts.append(p)
         if not verified.isEmpty():
-            links = verified if links is None else links.unionByName(verified)
-            if path:
-                release(spark, path)
-            members, path = connected_components(links)
+            parts += tables
+            members, tables = self._merged(members, verified)
+        elif members is not None and not tables:
+            members, tables = materialize(members, "members")  # its table is one of the parts
         release(spark, p3, p4, p5, p6, *parts)
         # rows that are alone in their class and unlinked need no join
         if members is not None:
@@ -440,9 +475,10 @@ class NgramJaccard:
         )
         for name in met:
             fits = fits & F.coalesce(F.col(f"a_{name}") != F.col(f"b_{name}"), F.lit(True))
-        return a.join(b, "key").where(fits).select("a_id", "a_s1", "b_id", "b_s1").distinct()
+        return a.join(b, "key").where(fits).select("a_id", "a_s1", "a_comp", "b_id", "b_s1", "b_comp").distinct()
 
     def _verify(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """``node, component``: the components of the pairs that are similar."""
         num, den = self.num, self.den
 
         def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -451,7 +487,6 @@ class NgramJaccard:
                 good = [i for i in range(batch.num_rows) if similar(np.frombuffer(a[i].as_py(), _U), np.frombuffer(b[i].as_py(), _U), num, den)]
                 yield batch.select([0, 1]).take(pa.array(good, pa.int64()))
 
-        x = sets.select(F.col("id").alias("a"), F.col("s1").alias("a_s1"), F.col("keys").alias("x"))
-        y = sets.select(F.col("id").alias("b"), F.col("s1").alias("b_s1"), F.col("keys").alias("y"))
-        rows = pairs.withColumnsRenamed({"a_id": "a", "b_id": "b"}).join(x, ["a", "a_s1"]).join(y, ["b", "b_s1"]).select("a", "b", "x", "y")
-        return rows.mapInArrow(check, "a bigint, b bigint")
+        x, y = (sets.select(F.col("id").alias(f"{c}_id"), F.col("s1").alias(f"{c}_s1"), F.col("keys").alias(c)) for c in "ab")
+        rows = pairs.join(x, ["a_id", "a_s1"]).join(y, ["b_id", "b_s1"]).select(F.col("a_comp").alias("node"), F.col("b_comp").alias("component"), "a", "b")
+        return rows.mapInArrow(check, "node bigint, component bigint")

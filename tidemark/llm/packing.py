@@ -29,15 +29,16 @@ from tidemark.session import ship
 GROUP_PIECES = 16384
 
 
-def tokenize_pieces(docs: DataFrame, capacity: int = 1024, end_id: int | None = 2, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Pieces of every document: ``doc_id, piece, start, length, ids`` (little-endian unsigned 32-bit).
+def tokenize_pieces(docs: DataFrame, capacity: int = 1024, end_id: int | None = 2, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", remembered: int | None = None) -> DataFrame:
+    """Pieces of every document: ``doc_id, piece, start, length, ids`` (little-endian unsigned 32-bit). ``remembered``
+    bounds the pieces of text that an encoder remembers: fewer take less memory and more time.
 
     Only documents of more than ``capacity`` ids are cut; all pieces but the first are full."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tidemark.llm.tokens import encoder
+        from tidemark.llm.tokens import REMEMBERED, encoder
 
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, remembered or REMEMBERED)
         tail = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
         names = ["doc_id", "piece", "start", "length", "ids"]
         for batch in batches:
@@ -198,10 +199,10 @@ def pack_pieces(pieces: DataFrame, capacity: int = 1024, group_pieces: int = GRO
     return pieces.withColumn("_group", key).groupBy("_group").applyInPandas(pack, schema)
 
 
-def pack_documents(docs: DataFrame, capacity: int = 1024, end_id: int | None = 2, tokenizer: str | None = None, group_pieces: int = GROUP_PIECES) -> DataFrame:
+def pack_documents(docs: DataFrame, capacity: int = 1024, end_id: int | None = 2, tokenizer: str | None = None, group_pieces: int = GROUP_PIECES, remembered: int | None = None) -> DataFrame:
     """Tokenise and pack: the spans of every sequence, with the ids' checksum in place of the ids, so that only small
     rows are shuffled. :func:`tokenize_pieces` gives the ids of each span."""
-    pieces = tokenize_pieces(docs, capacity, end_id, tokenizer)
+    pieces = tokenize_pieces(docs, capacity, end_id, tokenizer, remembered=remembered)
     spans = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
     # a token has a byte at least, so this bounds the full pieces
     n_docs, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()

@@ -12,7 +12,9 @@ from tokenizers import Tokenizer
 _GAP = re.compile(r" (?=\S)")
 #: A space, letters, and ASCII punctuation: the letters and the punctuation are encoded apart from each other.
 _WORD = re.compile(r" ([^\W\d_]+)([!-/:-@\[-`{-~]*)")
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
+#: Pieces of text that an encoder remembers, of about 200 bytes each.
+REMEMBERED = 1_200_000
 
 
 def default_tokenizer() -> str:
@@ -31,7 +33,7 @@ class Encoder:
     then forgotten. Texts with runs of white space are cut more carefully; tokenizers built otherwise, and texts that
     hold an added token's string, are encoded whole."""
 
-    def __init__(self, path: str, cache: int = 700_000):
+    def __init__(self, path: str, cache: int = 1_200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer, self.cache = Tokenizer.from_file(path), cache
         spec = json.loads(self.tokenizer.to_str())
@@ -126,9 +128,9 @@ class Encoder:
         return done
 
 
-def encoder(path: str | None = None) -> Encoder:
-    """One encoder a process and vocabulary."""
-    path = path or default_tokenizer()
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+def encoder(path: str | None = None, remembered: int = REMEMBERED) -> Encoder:
+    """One encoder a process, vocabulary and number of pieces that it remembers."""
+    key = path or default_tokenizer(), remembered
+    if key not in _ENCODERS:
+        _ENCODERS[key] = Encoder(*key)
+    return _ENCODERS[key]
