@@ -18,6 +18,8 @@ from tidemark.llm.quality_lm import QualityModel
 
 #: Keys of dropped rows up to this number (16 bytes each) are broadcast; more are joined by shuffling.
 BROADCAST_IDS = 100_000
+#: Pieces of text that the last stage's encoders remember: executors still hold memory of the stages before.
+REMEMBERED = 300_000
 
 
 def _columns(docs: DataFrame) -> list:
@@ -87,7 +89,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Spans of sequences of at most 1024 tokens."""
-    return packing.pack_documents(docs)
+    return packing.pack_documents(docs, remembered=REMEMBERED)
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("mix", mix), ("pack", pack)]
