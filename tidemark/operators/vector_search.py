@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,22 +29,51 @@ def session_vectors(events: DataFrame, targets: DataFrame, items: DataFrame, typ
     number of such events; the weighted sum of item and event-type vectors plus the target type's vector is normalised.
     ``items``: ``aid, vec``; ``types``: ``type, vec`` (three rows). ``max_seq_len`` keeps the latest events; 0 keeps
     all. Sessions without known events have no row."""
+    ship(events.sparkSession)
     kinds = F.broadcast(types.select("type", F.col("vec").alias("tvec")))
-    e = events.join(items, "aid").join(kinds, "type", "left")
+    e = events.where("session IS NOT NULL").join(items, "aid").join(kinds, "type", "left")
     if max_seq_len:
         latest = Window.partitionBy("session").orderBy(*(F.desc(c) for c in ORDER))
         e = e.withColumn("back", F.row_number().over(latest)).where(F.col("back") <= max_seq_len)
     w = Window.partitionBy("session")
     e = e.withColumns({"place": F.row_number().over(w.orderBy(*ORDER)), "n": F.count("*").over(w)})
     share = F.col("place") / (F.col("n") * (F.col("n") + 1) / 2)
-    both = F.when(F.col("tvec").isNull(), F.col("vec")).otherwise(V.add("vec", F.col("tvec")))
-    x = e.select("session", "place", V.scale(both, share).alias("v"))
-    s = x.groupBy("session").agg(F.sort_array(F.collect_list(F.struct("place", "v"))).alias("p")).select("session", F.col("p.v").alias("vs"))
-    s = s.select("session", V.total(F.col("vs"), F.size(F.col("vs")[0])).alias("h"))
+    none = F.transform("vec", lambda _: F.lit(0.0))
+    # the window has parted the rows by session already
+    x = e.select("session", "place", share.alias("share"), "vec", F.coalesce("tvec", none).alias("tvec")).sortWithinPartitions("session", "place")
+    s = x.select("session", "share", "vec", "tvec").mapInArrow(_session_sums, "session bigint, h array<double>")
     out = targets.join(s, "session").join(kinds, "type", "left")
     return out.select("session", "type", V.l2_normalize(F.when(F.col("tvec").isNull(), F.col("h")).otherwise(V.add("h", F.col("tvec")))).alias("vec"))
 
 
+def _session_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Weighted sums ``session, h`` of rows ``session, share, vec, tvec`` that come session by session."""
+    last, rest = None, None
+
+    def given(sessions: list, sums: np.ndarray) -> pa.RecordBatch:
+        width = sums.shape[1] if len(sums) else 0
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sessions) + 1, dtype=np.int32) * width), pa.array(sums.ravel()))
+        return pa.RecordBatch.from_arrays([pa.array(sessions, pa.int64()), lists], ["session", "h"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        session = batch.column(0).to_numpy(zero_copy_only=False)
+        vec, tvec = (batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) for c in (2, 3))
+        begin = np.flatnonzero(np.concatenate(([True], session[1:] != session[:-1])))
+        sums = np.add.reduceat((vec + tvec) * batch.column(1).to_numpy(zero_copy_only=False)[:, None], begin)
+        found = session[begin].tolist()
+        if last is not None and found[0] == last:
+            sums[0] += rest
+        elif last is not None:
+            yield given([last], rest[None])
+        if len(found) > 1:
+            yield given(found[:-1], sums[:-1])
+        last, rest = found[-1], sums[-1]
+    if last is not None:
+        yield given([last], rest[None])
+
+
 def vocabulary_counts(events: DataFrame, items: DataFrame) -> DataFrame:
     """One row ``events, known, skipped``: events, and how many of them have a vector or don't."""
     held = items.select("aid").distinct().withColumn("hit", F.lit(1))
