@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 
 
@@ -48,3 +50,74 @@ def test_filters_judge_rows(spark, tmp_path):
     one = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, kept, str(tmp_path)).collect()]
     assert sorted(t for _, t in one) == sorted(good[:53])
     assert {(1, good[1]), (2, good[2]), (None, good[50]), (70, good[51])} <= set(one)
+
+
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_near_duplicates_against_brute_force(spark, tmp_path):
+    rng = random.Random(12)
+    rows = []
+    for i in range(70):
+        w = [f"w{rng.randrange(3000)}" for _ in range(rng.randrange(3, 60))]
+        rows.append((i, " ".join(w), "en", f"s{i % 3}", 0))
+        for _ in range(rng.randrange(3)):
+            v = list(w)
+            for _ in range(rng.randrange(3)):
+                v[rng.randrange(len(v))] = f"x{rng.randrange(99)}"
+            rows.append((len(rows) + 1000, " ".join(v), "en", "t", 0))
+    rows += [(5000, None, "en", "s", 0), (5001, "", "en", "s", 0)]
+    d = spark.createDataFrame(rows, COLUMNS)
+    sets = {}
+    for i, t, *_ in rows:
+        w = (t or "").split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+    root = {i: i for i in sets}
+    for _ in range(4):
+        for a in sets:
+            for b in sets:
+                if sets[a] and sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                    root[a] = root[b] = min(root[a], root[b])
+    got = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, d, str(tmp_path)).collect()}
+    assert got == {i for i in root if root[i] == i} and len(got) < len(rows) - 20
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    rng = random.Random(10)
+    vocabulary = ["the", "of", "stone", "river", "green", "house", "and", "walks"]
+    good = ["\t" + "  ".join(rng.choice(vocabulary) for _ in range(60)) + " \n" for _ in range(64)]
+    rows = [(i, t, "en", f"s{i % 2}", len(t)) for i, t in enumerate(good[:60])]
+    rows += [(80, good[60], "en", "s0", 1), (80, good[60], "en", "s0", 1), (81, good[61], "en", "s0", 1), (81, good[61], "fr", "s0", 1)]
+    rows += [(92, "a b c d e f", "en", "s0", 1), (92, good[62], "en", "s0", 1), (91, good[62], "en", "s0", 1), (93, "river stone " * 20000 + "green", "en", None, 1)]
+    plain = spark.createDataFrame(rows, COLUMNS)
+    extra = {"n": 1, "row_key": 2, "gone": 3, "doc": 4, "slot": 5, "key_a": 6, "pass": 7, "k": 8, "i": 9}
+    d = plain.withColumns({c: F.lit(v) for c, v in extra.items()})
+    spark.createDataFrame([(i, 1, 0) for i in range(50)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for stage in (corpus_pipeline.quality, corpus_pipeline.near_duplicates, corpus_pipeline.mix):
+        none = stage(spark, d.limit(0), str(tmp_path))
+        assert none.columns == d.columns and none.count() == 0
+    assert corpus_pipeline.pack(spark, d.limit(0), str(tmp_path)).count() == 0
+
+    once = corpus_pipeline.near_duplicates(spark, d, str(tmp_path))
+    left = sorted((r["doc_id"], r["text"]) for r in once.collect())
+    want = [(r[0], r[1]) for r in rows[:60]] + [(80, good[60]), (81, good[61]), (92, "a b c d e f"), (91, good[62]), (93, rows[-1][1])]
+    assert left == sorted(want)
+    assert all(tuple(r[c] for c in extra) == tuple(extra.values()) for r in once.collect())
+
+    mixed = corpus_pipeline.mix(spark, d, str(tmp_path))
+    texts, langs = {}, {}
+    for r in mixed.collect():
+        assert tuple(r[c] for c in extra) == tuple(extra.values()) and r["n_chars"] == len(r["text"])
+        texts.setdefault(r["doc_id"], []).append(r["text"])
+        langs.setdefault(r["doc_id"], set()).add(r["lang"])
+    whole = {}
+    for r in rows:
+        whole.setdefault(r[0], []).append(r[1])
+    cut = 0
+    for i, got in texts.items():
+        assert all(any(w == t or w.startswith(t) and t[-1:].strip() for w in whole[i]) for t in got)
+        cut += sum(t not in whole[i] for t in got)
+    assert cut <= 3 and langs[81] <= {"en", "fr"} and len(texts[80]) <= 4
+    sources = {s: sum(len(r[1].split()) for r in rows if r[3] == s) for s in ("s0", "s1", None)}
+    got = {s: sum(len(r["text"].split()) for r in mixed.where(F.col("source").eqNullSafe(F.lit(s))).collect()) for s in sources}
+    assert abs(sum(got.values()) - 1.5 * sum(sources.values())) <= 3 and all(got[s] <= 2 * sources[s] for s in sources)
