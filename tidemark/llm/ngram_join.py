@@ -21,7 +21,9 @@ The join verifies no pair twice and wants no list of a hot shingle in one task:
    which links chunks of one cluster; only the new links, between components, are searched for larger ones. Sets
    remember the chunks they have been in, and pairs that met before aren't taken again.
 3. The pairs still unlinked that share a prefix shingle, never met in a chunk, and pass the filters become candidates,
-   each once, and are verified on their whole sets after the suffix filter.
+   each once. Of the candidates between two components a hash picks about ``FIRST``; these are verified on their whole
+   sets after the suffix filter, and components joined. Then so are all others whose components still differ. So two
+   large clusters that are linked cost a few pairs, and pairs that are needed are never left out.
 
 Memory: kernels take texts in slices of about 1 MB, counters are one array of fixed size in each task, and groups are
 bounded by shingles. A very long text is one slice, and its set one row, of 8 bytes a shingle.
@@ -52,6 +54,8 @@ _BLOCK = 1 << 15
 _CHUNK_SHINGLES, _GROUP_SHINGLES = 1 << 18, 1 << 19
 #: A candidate is dropped where one of this many lists before has both sets; later lists are left to ``distinct``.
 _BEFORE = 64
+#: Candidates between two components that are verified before the others.
+FIRST = 4
 _MAPS = ["b0", "b1", "b2", "b3"]
 
 
@@ -421,14 +425,16 @@ class NgramJaccard:
                 members, tables = self._merged(members, fresh)
             # one set stands for each component in a list
             now = self._open(lists, members).groupBy("key", "comp").agg(F.min_by(F.struct("id", "s1", "n", "pos"), F.struct("id", "s1")).alias("r")).select("key", "comp", "r.*")
-        pairs = self._candidates(self._open(lists, members), sets, dict(zip(met, placed)))
-        verified, p = materialize(self._verify(pairs, sets), "links")
+        pairs, p = materialize(self._candidates(self._open(lists, members), sets, dict(zip(met, placed))), "pairs")
         parts.append(p)
-        if not verified.isEmpty():
-            parts += tables
-            members, tables = self._merged(members, verified)
-        elif members is not None and not tables:
-            members, tables = materialize(members, "members")  # its table is one of the parts
+        for first in (True, False):
+            verified, p = materialize(self._verify(self._between(pairs, members, first), sets), "links")
+            parts.append(p)
+            if not verified.isEmpty():
+                parts += tables
+                members, tables = self._merged(members, verified)
+        if members is not None and not tables:
+            members, _ = materialize(members, "members")  # its table is one of the parts
         release(spark, p3, p4, p5, p6, *parts)
         # rows that are alone in their class and unlinked need no join
         if members is not None:
@@ -477,6 +483,21 @@ class NgramJaccard:
             fits = fits & F.coalesce(F.col(f"a_{name}") != F.col(f"b_{name}"), F.lit(True))
         return a.join(b, "key").where(fits).select("a_id", "a_s1", "a_comp", "b_id", "b_s1", "b_comp").distinct()
 
+    def _between(self, pairs: DataFrame, members: DataFrame | None, first: bool) -> DataFrame:
+        """The candidates that are verified ``first``, about ``FIRST`` between two components, or else the others whose
+        components still differ, with these."""
+        low, high = F.least("a_comp", "b_comp").alias("low"), F.greatest("a_comp", "b_comp").alias("high")
+        many = pairs.groupBy(low, high).agg(F.count("*").alias("many"))
+        place = F.pmod(F.xxhash64("a_id", "a_s1", "b_id", "b_s1"), F.lit(1 << 30)) * F.col("many")
+        chosen = place < (FIRST << 30)
+        found = pairs.withColumns({"low": low, "high": high}).join(many, ["low", "high"]).where(chosen if first else ~chosen).select(*pairs.columns)
+        if first or members is None:
+            return found
+        for c in ("a_comp", "b_comp"):
+            now = members.select(F.col("node").alias(c), F.col("component").alias("now"))
+            found = found.join(now, c, "left").withColumn(c, F.coalesce("now", c)).drop("now")
+        return found.where("a_comp <> b_comp")
+
     def _verify(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """``node, component``: the components of the pairs that are similar."""
         num, den = self.num, self.den
