@@ -10,8 +10,9 @@ there, and a role's line breaks and percent signs are percent-coded; :func:`pars
 of character spans of the formatted string, one for each assistant turn's text, escapes included and markers excluded.
 
 Nulls and odd rows: a null text or role is empty; a null turn comes first; equal turn numbers are ordered by role and
-text; repeated rows are turns of their own; rows of a null conversation form one conversation; an empty table gives an
-empty result; extra columns are ignored."""
+text; repeated rows are turns of their own; rows of a null conversation form one conversation; very long texts are
+formatted whole: a conversation is one row, so its turns, and no others, must fit in a task; an empty table gives an empty
+result; extra columns are ignored."""
 
 from __future__ import annotations
 

@@ -68,7 +68,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> tuple[DataFr
     """Component of every node of ``edges(a, b)`` by alternating large-star and small-star rounds.
 
     Every round is a few aggregations and joins on the node, written to the shared folder; no links or labels go to
-    the driver, only a count and a checksum for the stopping test. Returns ``(node, component)`` with the smallest
+    the driver, only a count and a checksum for the stopping test. A hub is a key with many rows on one side of a join and
+one on the other, which adaptive execution splits. Returns ``(node, component)`` with the smallest
     reachable node as component, and the path of its table; fails if ``max_rounds`` don't do. Null ends and self links are ignored."""
     spark = edges.sparkSession
     now = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(

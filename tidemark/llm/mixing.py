@@ -78,12 +78,12 @@ def schedule(targets: DataFrame, block: int) -> DataFrame:
     main = points.join(cells, "cell").where("point >= low AND point < high").select(F.col("id").alias("slot"), "source")
     # ranks: blocks of slots first, so that no source's slots meet in one task
     span = F.floor(F.col("slot") / 65536).alias("span")
-    main = main.withColumn("span", span)
-    per = main.groupBy("source", "span").agg(F.count("*").alias("n"))
+    main, _ = materialize(main.withColumn("span", span), "slots")
+    per, _ = materialize(main.groupBy("source", "span").agg(F.count("*").alias("n")), "per")
+    had = per.groupBy(F.col("source").alias("s2")).agg(F.sum("n").alias("n"))
     per = per.select("source", "span", (F.sum("n").over(Window.partitionBy("source").orderBy("span")) - F.col("n")).alias("before"))
     main = main.join(per.select(F.col("source").alias("s2"), F.col("span").alias("p2"), "before"), F.col("source").eqNullSafe(F.col("s2")) & (F.col("span") == F.col("p2")))
     main = main.select("slot", "source", (F.col("before") + F.row_number().over(Window.partitionBy("source", "span").orderBy("slot")) - 1).alias("rank"))
-    had = main.groupBy(F.col("source").alias("s2")).agg(F.count("*").alias("n"))
     tail = t.join(had, F.col("source").eqNullSafe(F.col("s2")), "left").where("coalesce(n, 0) < need")
     tail = tail.select("source", F.explode(F.sequence(F.coalesce("n", F.lit(0)), F.col("need") - 1)).alias("rank"))
     tail = tail.select((F.lit(slots) + F.row_number().over(Window.orderBy("rank", F.col("source").asc_nulls_last())) - 1).alias("slot"), "source", "rank")
@@ -108,9 +108,9 @@ def mix(rows: DataFrame, size: Column | None = None, weights: tuple[float, ...]
     buckets = max(1, -(-d.count() // bucket_rows))
     d = d.withColumn("bucket", F.pmod(F.shiftright("place", 20), F.lit(buckets)))
     all_size = F.col("size") * F.col("copies")
-    per = d.groupBy("source", "bucket").agg(F.sum(all_size).alias("n"))
+    per, _ = materialize(d.groupBy("source", "bucket").agg(F.sum(all_size).alias("n")), "buckets")
     totals = per.groupBy("source").agg(F.sum("n").alias("source_size"))
-    targets = source_targets(totals, weights, share, passes)
+    targets, _ = materialize(source_targets(totals, weights, share, passes), "targets")
     per = per.select("source", "bucket", (F.sum("n").over(Window.partitionBy("source").orderBy("bucket")) - F.col("n")).alias("before"))
     info = per.join(targets.withColumnRenamed("source", "s1"), F.col("source").eqNullSafe(F.col("s1"))).drop("s1")
     info = info.select(F.col("source").alias("s1"), F.col("bucket").alias("b1"), "before", "source_size", "target")
