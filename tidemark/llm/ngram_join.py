@@ -17,9 +17,9 @@ The join verifies no pair twice and wants no list of a hot shingle in one task:
    a hash, bounded by sets and by shingles. Inside a chunk, pairs that pass the length, positional and bit map filters
    and aren't linked through others yet are verified. What comes out is a spanning forest, at most one link a set.
 2. As every set was in one chunk, the chunks' forests are the components so far. Lists whose sets all lie in one
-   component need nothing more. Of the others, one set stands for each component, and step 1 is repeated among these,
-   which links chunks of one cluster; only the new links, between components, are searched for larger ones. Sets
-   remember the chunks they have been in, and pairs that met before aren't taken again.
+   component need nothing more. Of the others, at most ``STANDINS`` sets stand for each component, others each time, and
+   step 1 is repeated among these, which links chunks of one cluster; only the new links, between components, are
+   searched for larger ones. Sets remember the chunks they have been in, and pairs that met before aren't taken again.
 3. The pairs still unlinked that share a prefix shingle, never met in a chunk, and pass the filters become candidates,
    each once. Of the candidates between two components a hash picks about ``FIRST``; these are verified on their whole
    sets after the suffix filter, and components joined. Then so are all others whose components still differ. So two
@@ -56,6 +56,8 @@ _CHUNK_SHINGLES, _GROUP_SHINGLES = 1 << 18, 1 << 19
 _BEFORE = 64
 #: Candidates between two components that are verified before the others.
 FIRST = 4
+#: Sets that stand for a component in a list at most.
+STANDINS = 8
 _MAPS = ["b0", "b1", "b2", "b3"]
 
 
@@ -406,7 +408,7 @@ class NgramJaccard:
         met: list[str] = []
         now = self._open(lists, members)
         placed = []
-        for _ in range(self.rounds):
+        for turn in range(self.rounds):
             homes = self._homes(now)
             for k, (name, earlier) in enumerate(zip(met, placed)):
                 homes = homes.join(earlier, ["id", "s1"], "left").withColumn(name, F.coalesce(name, F.xxhash64("id", "s1", F.lit(k))))
@@ -423,8 +425,9 @@ class NgramJaccard:
             else:
                 parts += tables
                 members, tables = self._merged(members, fresh)
-            # one set stands for each component in a list
-            now = self._open(lists, members).groupBy("key", "comp").agg(F.min_by(F.struct("id", "s1", "n", "pos"), F.struct("id", "s1")).alias("r")).select("key", "comp", "r.*")
+            # a few sets, others each time, stand for each component in a list
+            part = F.pmod(F.xxhash64("id", "s1", F.lit(turn)), F.lit(STANDINS)).alias("part")
+            now = self._open(lists, members).groupBy("key", "comp", part).agg(F.min_by(F.struct("id", "s1", "n", "pos"), F.xxhash64("id", "s1", F.lit(-turn))).alias("r")).select("key", "comp", "r.*")
         pairs, p = materialize(self._candidates(self._open(lists, members), sets, dict(zip(met, placed))), "pairs")
         parts.append(p)
         for first in (True, False):
