@@ -549,6 +549,41 @@ def test_style_tree_decides(spark):
     assert len(again) == 2 * len(rows) and all(r["text"] == want[r["page_id"]] for r in again)
 
 
+def test_quality_trains_on_all_trusted(spark, monkeypatch):
+    rng = random.Random(6)
+    words = ["the", "of", "stone", "river", "green", "house", "walks"]
+    ids = [*range(70), -1, -64, -(2**63) + 5, 2**63 - 3]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(30)), "en" if n % 3 else None, "s") for n, i in enumerate(ids)]
+    rows += [(None, rows[3][1], "en", "s"), (200_000, rows[4][1], "en", "s"), (200_001, rows[4][1].upper() + "!! " * 40, "en", "s")]
+    lab = spark.range(150_000).select(F.col("id").alias("doc_id")).union(spark.createDataFrame([(i,) for i in ids[70:]] * 2 + [(None,)], "doc_id long"))
+    lab = lab.withColumns({"quality": F.lit(1), "toxic": F.lit(0)}).unionByName(spark.createDataFrame([(200_000, 0, 0)], "doc_id long, quality int, toxic int"))
+    model = quality_lm.QualityModel(order=3, shard_bytes=2000, least=3)
+    flags = {r["id"]: r["flag"] for r in model._packed(docs(spark, rows), lab).collect()}
+    assert len(flags) == len(rows) and {i for i, f in flags.items() if f} == set(ids) and set(flags.values()) == {0, 1, 2}
+    out = {r["doc_id"]: r for r in model.classify(docs(spark, rows), lab).collect()}
+    texts = {i: t.encode() for i, t, *_ in rows}
+    p = kneser_ney([t for i, t in texts.items() if flags[i] == 1], 3)
+    mean = {i: -np.mean([math.log(p(g, 3)) for g in quality_lm.grams(np.frombuffer(t, np.uint8), 3).tolist()]) for i, t in texts.items() if flags[i] == 2 or i == 200_000}
+    assert all(abs(math.log(out[i]["perplexity"]) / m - 1) < 1e-4 for i, m in mean.items())
+    for lang in ("en", None):  # null shares the quantiles of all languages
+        held = sorted(mean[i] for i, _, own, _ in rows if flags[i] == 2 and lang in (own, None))
+        mid, high = (held[max(math.ceil(q * len(held)), 1) - 1] for q in (0.5, 0.99))
+        assert all(abs(r["threshold"] - (mid + max(2 * (high - mid), 0.15))) < 1e-3 for r in out.values() if r["lang"] == lang)
+    assert not out[200_001]["keep"] and all(out[i]["keep"] for i in ids)
+    monkeypatch.setattr(quality_lm, "BROADCAST_ROWS", 0)
+    assert {r["doc_id"]: r for r in model.classify(docs(spark, rows), lab).collect()} == out
+
+
+def test_exact_quantiles(spark):
+    rng = np.random.default_rng(7)
+    x = np.concatenate((rng.normal(2, 0.01, 12_000), np.zeros(8_000), rng.random(7)))
+    groups = {("a", "en"): x, ("a", None): x[11_000:13_000], ("b", None): x[:1]}
+    rows = [(*k, "w", v) for k, some in groups.items() for v in some.tolist()]
+    found, _ = quality_lm.exact_quantiles(spark.createDataFrame(rows, "part string, lang string, what string, x double"), [0.3, 0.5, 0.99])
+    got = {(r["part"], r["lang"], r["level"]): (r["n"], r["x"]) for r in found.collect()}
+    assert got == {(*k, q): (len(v), np.sort(v)[max(math.ceil(q * len(v)), 1) - 1]) for k, v in groups.items() for q in (0.3, 0.5, 0.99)}
+
+
 def test_quality_sees_repeated_words(spark):
     rng = random.Random(4)
     vocabulary = ["the", "of", "stone", "river", "green", "house", "and", "walks", "water", "over", "hills", "deep"]

@@ -21,9 +21,13 @@ rejected, too, if its ``repeats`` are above a threshold got in the same way, by
 share of words (see :func:`~tidemark.llm.common.word_hashes`) equal to the word ``k`` places before, for the ``k`` of 1
 to ``LAGS`` where it is largest, drawn towards 0 as by a word more for every 4 bytes of ``prior``.
 
-Trusted are at most ``train_docs`` documents with label 1, by the smallest hashes of their ids: a bounded sample, the
-only one. A fifth of them is held out for the quantiles. Languages with fewer than ``least`` held-out documents, and
-null, share the quantiles of all languages.
+Trusted are all documents with label 1. A fifth of them, by a hash of their ids, is held out for the quantiles, and the
+model is trained on all others. Quantiles are exact: the smallest value that reaches the rank, found by counts of cells and
+then among the values of one cell. Languages with fewer than ``least`` held-out documents, and null, share the
+quantiles of all languages.
+
+Trusted ids are masks of 64 neighbours each. Up to ``BROADCAST_ROWS`` masks are broadcast; more are joined by a shuffle,
+which for the training counts moves the texts once.
 
 Nulls and odd rows: a null or empty text has no perplexity and is rejected; a null id or language is a value like
 others, except that null ids are never trusted; ids may lie anywhere in a long; repeated rows are scored each, alike;
@@ -38,7 +42,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import materialize, release, settle, slices, word_hashes
@@ -51,6 +55,10 @@ LAGS = 8
 _TRAIN, _HELD_OUT = 1, 2
 #: Ranges of ids that are told apart at most: 8 bytes each.
 MAX_RANGES = 1 << 16
+#: Rows of a table (about 70 bytes each) up to which it is broadcast; larger ones are joined by shuffling.
+BROADCAST_ROWS = 500_000
+#: Cells of a unit by which quantiles are sought.
+CELLS = 4096
 
 
 def grams(raw: np.ndarray, order: int) -> np.ndarray:
@@ -74,22 +82,60 @@ def word_repeats(texts: list) -> tuple[np.ndarray, np.ndarray]:
     return n.astype(np.int64), best
 
 
+def _few(table: DataFrame) -> DataFrame:
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
+def exact_quantiles(values: DataFrame, levels: list[float]) -> tuple[DataFrame, str]:
+    """``part, lang, what, n, level, x`` of ``values(part, lang, what, x)``: for every group its number of rows, and for each
+    level the smallest value that at least that share of the rows doesn't exceed. One task holds a group's cells, or the
+    distinct values of the one cell that has the rank. Also the path of the table it reads."""
+    group = ["part", "lang", "what"]
+    counts, path = materialize(values.groupBy(*group, "x").agg(F.count("*").alias("n")), "values")
+    counts = counts.withColumn("cell", F.floor(F.col("x") * CELLS))
+    cells = counts.groupBy(*group, "cell").agg(F.sum("n").alias("n"))
+    cells = cells.withColumns({"upto": F.sum("n").over(Window.partitionBy(*group).orderBy("cell")), "total": F.sum("n").over(Window.partitionBy(*group))})
+    found = cells.withColumn("level", F.explode(F.array(*(F.lit(float(p)) for p in levels))))
+    found = found.withColumn("rank", F.greatest(F.ceil(F.col("level") * F.col("total")), F.lit(1)))
+    found = found.where("upto >= rank AND upto - n < rank").select(*(F.col(c).alias(f"f_{c}") for c in (*group, "cell")), "level", "rank", "total", (F.col("upto") - F.col("n")).alias("below"))
+    same = F.lit(True)
+    for c in (*group, "cell"):
+        same = same & F.col(c).eqNullSafe(F.col(f"f_{c}"))
+    inside = Window.partitionBy(*group, "level").orderBy("x")
+    near = counts.join(found, same).withColumn("upto", F.col("below") + F.sum("n").over(inside))
+    return near.where("upto >= rank").groupBy(*group, "level").agg(F.first("total").alias("n"), F.min("x").alias("x")).select(*group, "n", "level", "x"), path
+
+
 class QualityModel:
-    def __init__(self, order: int = 4, train_docs: int = 100_000, shard_bytes: int = 1 << 24, quantile: float = 0.99, reach: float = 2.0, slack: float = 0.15, prior: int = 64, least: int = 20, repeat_slack: float = 0.15):
-        self.order, self.train_docs, self.shard_bytes = order, train_docs, shard_bytes
+    def __init__(self, order: int = 4, shard_bytes: int = 1 << 24, quantile: float = 0.99, reach: float = 2.0, slack: float = 0.15, prior: int = 64, least: int = 20, repeat_slack: float = 0.15):
+        self.order, self.shard_bytes = order, shard_bytes
         self.quantile, self.reach, self.slack, self.prior, self.least = quantile, reach, slack, prior, least
         self.repeat_slack = repeat_slack
+        self._paths: list[str] = []
 
     # --- pieces
 
-    def _packed(self, docs: DataFrame, labels: DataFrame, key: str | None = None) -> DataFrame:
-        """``id, lang, flag, text, row, mark`` rows; ``mark`` is a hash of id and text."""
+    def _rows(self, docs: DataFrame, key: str | None = None) -> DataFrame:
+        """``id, lang, text, row, mark`` rows; ``mark`` is a hash of id and text."""
         d = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), (F.col(key) if key else F.lit(None)).cast("bigint").alias("row"))
-        trusted = labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("id")).distinct()
-        flag = F.when(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(5)) == 0, _HELD_OUT).otherwise(_TRAIN)
-        trusted = trusted.orderBy(F.xxhash64("id"), "id").limit(self.train_docs).select("id", flag.alias("flag"))
-        # at most train_docs rows of 12 bytes
-        return d.join(F.broadcast(trusted), "id", "left").select("id", "lang", F.coalesce("flag", F.lit(0)).alias("flag"), "text", "row", F.xxhash64("id", "text").alias("mark"))
+        return d.withColumn("mark", F.xxhash64("id", "text"))
+
+    def _flagged(self, rows: DataFrame, labels: DataFrame) -> DataFrame:
+        """``rows``, which have an ``id``, with a ``flag``: trusted for training, held out, or 0."""
+        bit = F.col("id").bitwiseAND(F.lit(63))
+        trusted = labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("id"))
+        masks = trusted.groupBy(F.shiftright("id", 6).alias("near")).agg(F.bit_or(F.expr("shiftleft(1L, int(id & 63))")).alias("mask"))
+        masks, path = materialize(masks, "trusted")
+        self._paths.append(path)
+        # null ids meet no mask: their keys are larger than any, and many, so that a shuffle deals them out
+        near = F.coalesce(F.shiftright("id", 6), F.lit(1 << 60) + F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 16)))
+        use = F.when(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(5)) == 0, _HELD_OUT).otherwise(_TRAIN)
+        flag = F.when(F.col("mask").isNotNull() & (F.getbit("mask", bit.cast("int")) == 1), use).otherwise(0)
+        return rows.withColumn("near", near).join(_few(masks), "near", "left").select(*rows.columns, flag.alias("flag"))
+
+    def _packed(self, docs: DataFrame, labels: DataFrame, key: str | None = None) -> DataFrame:
+        """The rows of ``docs`` with flags."""
+        return self._flagged(self._rows(docs, key), labels)
 
     def _shards(self, docs: DataFrame) -> Callable[[pa.Array, pa.Array], np.ndarray]:
         """A function from ids and marks to shards. Ranges of ids lie between quantiles, which outlying ids don't move,
@@ -176,7 +222,7 @@ class QualityModel:
         order = self.order
         counts = {order: asked.where("n > 0").groupBy("gram").agg(F.sum("n").alias("c"))}
         counts[order], path = materialize(counts[order], "counts")
-        self._paths = [path]
+        self._paths.append(path)
         for k in range(order - 1, 0, -1):
             lower = counts[k + 1].groupBy((F.col("gram").bitwiseAND(F.lit((1 << 8 * k) - 1))).alias("gram")).agg(F.count("*").alias("c"))
             counts[k], path = materialize(lower, "counts")
@@ -202,19 +248,19 @@ class QualityModel:
             q = q.select("gram", (F.col("p") + F.when(seen, F.col("w") * F.coalesce("a", F.lit(0.0)) / F.col("total")).otherwise(0.0)).alias("p"), F.when(seen, F.col("w") * F.col("mass") / F.col("total")).otherwise(F.col("w")).alias("w"))
         return q.select("gram", F.ln(F.col("p") + F.col("w") / SYMBOLS).alias("logp"))
 
-    def _scored(self, packed: DataFrame, answers: DataFrame, shards_of: Callable) -> DataFrame:
-        """``id, lang, flag, row, n_bytes, loss, n_words, n_same`` by meeting each shard's texts with the shard's answers."""
+    def _scored(self, rows: DataFrame, answers: DataFrame, shards_of: Callable) -> DataFrame:
+        """``id, lang, row, n_bytes, loss, n_words, n_same`` by meeting each shard's texts with the shard's answers."""
         order = self.order
-        names = ["shard", "ids", "langs", "flags", "rows", "blob", "lengths"]
+        names = ["shard", "ids", "langs", "rows", "blob", "lengths"]
 
         def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             deflate = zstandard.ZstdCompressor(level=3)
             for batch in batches:
-                shards = shards_of(batch.column(0), batch.column(5))
+                shards = shards_of(batch.column(0), batch.column(4))
                 for shard in np.unique(shards):
-                    for some in slices(batch.take(pa.array(np.flatnonzero(shards == shard))), 3, 256):
-                        texts = [(t or "").encode() for t in some.column(3).to_pylist()]
-                        yield pa.RecordBatch.from_arrays([pa.array([int(shard)], pa.int64()), pa.array([some.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([some.column(1).to_pylist()], pa.list_(pa.string())), pa.array([some.column(2).to_pylist()], pa.list_(pa.int32())), pa.array([some.column(4).to_pylist()], pa.list_(pa.int64())), pa.array([deflate.compress(b"".join(texts))], pa.binary()), pa.array([[len(t) for t in texts]], pa.list_(pa.int64()))], names)
+                    for some in slices(batch.take(pa.array(np.flatnonzero(shards == shard))), 2, 256):
+                        texts = [(t or "").encode() for t in some.column(2).to_pylist()]
+                        yield pa.RecordBatch.from_arrays([pa.array([int(shard)], pa.int64()), pa.array([some.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([some.column(1).to_pylist()], pa.list_(pa.string())), pa.array([some.column(3).to_pylist()], pa.list_(pa.int64())), pa.array([deflate.compress(b"".join(texts))], pa.binary()), pa.array([[len(t) for t in texts]], pa.list_(pa.int64()))], names)
 
         def table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -230,17 +276,35 @@ class QualityModel:
             turn = np.argsort(g)
             g, p = g[turn], p[turn]
             out = []
-            for ids, langs, flags, keys, blob, lengths in zip(*(texts[c] for c in names[1:])):
+            for ids, langs, keys, blob, lengths in zip(*(texts[c] for c in names[1:])):
                 raw = np.frombuffer(inflate.decompress(blob), np.uint8)
                 ends = np.concatenate(([0], np.cumsum(lengths))).astype(np.int64)
                 sums = [-p[np.searchsorted(g, grams(raw[a:b], order))].sum() if b > a else np.nan for a, b in zip(ends, ends[1:])]
-                out += zip(ids, langs, flags, keys, lengths, sums, *word_repeats([raw[a:b].tobytes() for a, b in zip(ends, ends[1:])]))
-            frame = pd.DataFrame(out, columns=["id", "lang", "flag", "row", "n_bytes", "loss", "n_words", "n_same"])
+                out += zip(ids, langs, keys, lengths, sums, *word_repeats([raw[a:b].tobytes() for a, b in zip(ends, ends[1:])]))
+            frame = pd.DataFrame(out, columns=["id", "lang", "row", "n_bytes", "loss", "n_words", "n_same"])
             return frame.astype({"id": "Int64", "row": "Int64"})
 
-        blobs = packed.mapInArrow(squeeze, "shard bigint, ids array<bigint>, langs array<string>, flags array<int>, rows array<bigint>, blob binary, lengths array<bigint>")
-        rows = answers.repartition("shard").mapInArrow(table, "shard bigint, grams binary, logps binary")
-        return blobs.groupBy("shard").cogroup(rows.groupBy("shard")).applyInPandas(score, "id bigint, lang string, flag int, row bigint, n_bytes bigint, loss double, n_words bigint, n_same bigint")
+        blobs = rows.mapInArrow(squeeze, "shard bigint, ids array<bigint>, langs array<string>, rows array<bigint>, blob binary, lengths array<bigint>")
+        tables = answers.repartition("shard").mapInArrow(table, "shard bigint, grams binary, logps binary")
+        return blobs.groupBy("shard").cogroup(tables.groupBy("shard")).applyInPandas(score, "id bigint, lang string, row bigint, n_bytes bigint, loss double, n_words bigint, n_same bigint")
+
+    def _levels(self, held: DataFrame) -> tuple[DataFrame, dict]:
+        """The median and the upper quantile of scores and of repeats of ``held(lang, mean, repeats)``: ``lang, mid, high,
+        mid_same, high_same`` of the languages that have ``least`` rows, and those of all rows, by name."""
+        names = {"mid": ("mean", 0.5), "high": ("mean", self.quantile), "mid_same": ("repeats", 0.5), "high_same": ("repeats", self.quantile)}
+        values = held.select("lang", F.explode(F.array(*(F.struct(F.lit(c).alias("what"), F.col(c).alias("x")) for c in ("mean", "repeats")))).alias("v"))
+        values = values.select(F.explode(F.array(F.struct(F.lit("lang").alias("part"), "lang"), F.struct(F.lit("all").alias("part"), F.lit(None).cast("string").alias("lang")))).alias("p"), "v.*").select("p.*", "what", "x")
+        found, path = exact_quantiles(values, sorted({0.5, self.quantile}))
+        self._paths.append(path)
+        own = (F.max(F.when((F.col("what") == what) & (F.col("level") == level), F.col("x"))).alias(c) for c, (what, level) in names.items())
+        found, _ = materialize(found.groupBy("part", "lang").agg(F.max("n").alias("n"), *own), "levels")
+        overall = found.where("part = 'all'").select(*names).first()
+        by_lang = found.where((F.col("part") == "lang") & (F.col("n") >= self.least)).select("lang", *names)
+        return by_lang, overall.asDict() if overall else dict.fromkeys(names)
+
+    def _release(self, spark: SparkSession) -> None:
+        release(spark, *self._paths)
+        self._paths.clear()
 
     # --- the classifier
 
@@ -248,22 +312,19 @@ class QualityModel:
         """``doc_id, lang, n_bytes, perplexity, score, threshold, repeats, repeat_threshold, keep`` of every row, and
         ``row``, the value of the column ``key`` (a bigint), where one is named."""
         ship(docs.sparkSession)
-        packed = self._packed(docs, labels, key)
         shards_of = self._shards(docs)
-        asked, path = materialize(self._asked(packed, shards_of), "asked")
+        asked, path = materialize(self._asked(self._packed(docs, labels), shards_of), "asked")
+        self._paths.append(path)
         known = self._probabilities(asked)
         answers = asked.select("shard", "gram").distinct().join(known, "gram").select("shard", "gram", "logp")
-        scored, _ = materialize(self._scored(packed, answers, shards_of), "scores")
-        release(docs.sparkSession, path, *self._paths)
+        scored, _ = materialize(self._scored(self._rows(docs, key), answers, shards_of), "scores")
+        self._release(docs.sparkSession)
         scored = scored.withColumn("repeats", F.col("n_same") / F.greatest(F.col("n_words") + self.prior // 4, F.lit(1)))
         mean = F.col("loss") / F.col("n_bytes")
-        held = scored.where((F.col("flag") == _HELD_OUT) & (F.col("n_bytes") > 0)).withColumn("mean", mean)
-        levels = [F.percentile_approx("mean", 0.5, 10_000).alias("mid"), F.percentile_approx("mean", self.quantile, 10_000).alias("high")]
-        levels += [F.percentile_approx("repeats", 0.5, 10_000).alias("mid_same"), F.percentile_approx("repeats", self.quantile, 10_000).alias("high_same")]
-        by_lang = held.groupBy("lang").agg(F.count("*").alias("n"), *levels).where(F.col("n") >= self.least).drop("n")
-        overall = held.agg(*levels).first()
-        # held-out documents are bounded, and every language here has ``least`` of them
-        out = scored.join(F.broadcast(by_lang), "lang", "left").withColumns({c: F.coalesce(c, F.lit(x).cast("double")) for c, x in overall.asDict().items()})
+        held = scored.where("n_bytes > 0").select("id", "lang", mean.alias("mean"), "repeats")
+        by_lang, overall = self._levels(self._flagged(held, labels).where(F.col("flag") == _HELD_OUT))
+        self._release(docs.sparkSession)
+        out = scored.join(_few(by_lang), "lang", "left").withColumns({c: F.coalesce(c, F.lit(x).cast("double")) for c, x in overall.items()})
         score = (F.col("loss") + F.col("mid") * self.prior) / (F.col("n_bytes") + self.prior)
         threshold = F.col("mid") + F.greatest((F.col("high") - F.col("mid")) * self.reach, F.lit(self.slack))
         repeat_threshold = F.col("mid_same") + F.greatest((F.col("high_same") - F.col("mid_same")) * self.reach, F.lit(self.repeat_slack))
