@@ -52,6 +52,18 @@ def test_filters_judge_rows(spark, tmp_path):
     assert {(1, good[1]), (2, good[2]), (None, good[50]), (70, good[51])} <= set(one)
 
 
+def test_quality_keeps_every_trusted_kind(spark, tmp_path):
+    rng = random.Random(13)
+    order = [r["id"] for r in spark.range(150_000).orderBy(F.xxhash64("id"), "id").collect()]
+    plain, loud = ["the", "of", "stone", "river", "green", "house"], ["QUARTZ!!", "ZINC!!", "FJORD??", "WALTZ##"]
+    rows = [(i, " ".join(rng.choice(w) for _ in range(60)), "en", "s", 0) for w, ids in ((plain, order[:80]), (loud, order[-80:])) for i in ids]
+    rows.append((200_000, " ".join(rng.choice(["~~<>", "[]{}", "%%&&"]) for _ in range(60)), "en", "s", 0))
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    spark.range(150_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic")).write.parquet(f"{tmp_path}/labels.parquet")
+    kept = {r["doc_id"] for r in corpus_pipeline.quality(spark, d, str(tmp_path)).collect()}
+    assert kept == set(order[:80] + order[-80:])
+
+
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
