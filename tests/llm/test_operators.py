@@ -574,6 +574,36 @@ def test_quality_trains_on_all_trusted(spark, monkeypatch):
     assert {r["doc_id"]: r for r in model.classify(docs(spark, rows), lab).collect()} == out
 
 
+def test_quality_folds_leave_nothing_out(spark):
+    rng = random.Random(9)
+    words = ["the", "of", "stone", "river", "green", "house", "walks"]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(25)), "en" if i % 3 else "fr", "s") for i in range(60)]
+    rows += [(70, rows[0][1].upper(), "en", "s"), (None, rows[1][1], "en", "s"), (71, None, "fr", "s"), (72, rows[2][1], None, "s")]
+    lab = spark.createDataFrame([(i, 1, 0) for i in range(60)] + [(71, 1, 0)], "doc_id long, quality int, toxic int")
+    model = quality_lm.QualityModel(order=3, shard_bytes=1000, least=3, folds=3)
+    flags = {r["id"]: r["flag"] for r in model._packed(docs(spark, rows), lab).collect()}
+    assert {i for i, f in flags.items() if f} == {*range(60), 71} and set(flags.values()) == {0, 1, 2, 3}
+    out = {r["doc_id"]: r for r in model.classify(docs(spark, rows), lab).collect()}
+    texts = {i: t.encode() for i, t, *_ in rows if t}
+
+    def mean(i, p):
+        return -np.mean([math.log(p(g, 3)) for g in quality_lm.grams(np.frombuffer(texts[i], np.uint8), 3).tolist()])
+
+    whole = kneser_ney([texts[i] for i in range(60)], 3)
+    assert all(abs(math.log(out[i]["perplexity"]) / mean(i, whole) - 1) < 1e-4 for i in (0, 7, 70, None, 72))
+    apart = {f: kneser_ney([texts[i] for i in range(60) if flags[i] != f], 3) for f in (1, 2, 3)}
+    scores = {i: mean(i, apart[flags[i]]) for i in range(60)}
+    for lang in ("en", "fr", None):  # null shares the quantiles of all languages
+        held = sorted(scores[i] for i, _, own, _ in rows[:60] if lang in (own, None))
+        mid, high = (held[max(math.ceil(q * len(held)), 1) - 1] for q in (0.5, 0.99))
+        assert all(abs(r["threshold"] - (mid + max(2 * (high - mid), 0.15))) < 1e-3 for r in out.values() if r["lang"] == lang)
+    assert {i for i, r in out.items() if not r["keep"]} == {70, 71}
+    # all trusted documents in one fold, or none at all: no thresholds
+    for some in (lab.where("doc_id = 5"), lab.limit(0)):
+        assert {r["doc_id"] for r in model.classify(docs(spark, rows), some).where("NOT keep").collect()} == {71}
+    assert model.classify(docs(spark, []), lab).count() == 0
+
+
 def test_exact_quantiles(spark):
     rng = np.random.default_rng(7)
     x = np.concatenate((rng.normal(2, 0.01, 12_000), np.zeros(8_000), rng.random(7)))

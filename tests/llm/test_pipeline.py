@@ -64,6 +64,17 @@ def test_quality_keeps_every_trusted_kind(spark, tmp_path):
     assert kept == set(order[:80] + order[-80:])
 
 
+def test_quality_holds_nothing_out(spark, tmp_path):
+    rng = random.Random(14)
+    order = [r["id"] for r in spark.range(900).orderBy(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(5)), "id").collect()]
+    plain, loud = ["the", "of", "stone", "river", "green", "house"], ["QUARTZ!!", "ZINC!!", "FJORD??", "WALTZ##"]
+    # one trusted document is of its own kind, as is another whose quality isn't known; its id is in the first of five parts
+    rows = [(i, " ".join(rng.choice(loud if i in (order[0], 1000) else plain) for _ in range(60)), "en", "s", 0) for i in (*order, 1000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    spark.range(900).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic")).write.parquet(f"{tmp_path}/labels.parquet")
+    assert {r["doc_id"] for r in corpus_pipeline.quality(spark, d, str(tmp_path)).collect()} == {*order, 1000}
+
+
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
